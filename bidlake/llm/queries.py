@@ -72,4 +72,85 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_simhash, op4_quality, op5_url_filter, op6_secret_scan, op7_embedding_dedup, op8_chat_format, op9_line_dedup, op10_cross_polytope, pipeline)}
-SQL: dict[str, str] = {}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::HUGEINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS w
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, 2 * source_size AS cap, (sum(source_size) OVER () * 150)::HUGEINT AS budget,
+         (coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100)::HUGEINT AS used,
+         (sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS weight_left
+  FROM s),
+g AS (
+  SELECT *, cap * weight_left * 100 <= w * (budget - used) AS is_full FROM f),
+o AS (SELECT used, weight_left FROM g WHERE NOT is_full ORDER BY used, weight_left DESC LIMIT 1),
+t AS (
+  SELECT g.source, g.source_size, g.cap,
+         CASE WHEN g.is_full THEN g.cap::DOUBLE ELSE (g.w * (g.budget - o.used))::DOUBLE / (100 * o.weight_left)::DOUBLE END AS target
+  FROM g LEFT JOIN o ON true),
+b AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size::DOUBLE)::BIGINT END AS whole FROM t),
+r AS (
+  SELECT d.*, b.source_size, b.target, b.whole, floor(b.target)::BIGINT - b.whole * b.source_size AS part,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (size * least(2, whole + CASE WHEN part > 0 AND upto <= part THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r"""
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+URL_SQL = rf"""
+WITH p AS (
+  SELECT page_id, {_LOW.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(verdict, host, path) AS (VALUES {_RULES}),
+n AS (SELECT row_number() OVER () AS row, * FROM p),
+fit AS (
+  SELECT row, max_by(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+         max_by(verdict, length(rules.host || rules.path)) AS verdict
+  FROM n JOIN rules ON (n.host = rules.host OR ends_with(n.host, '.' || rules.host)) AND starts_with(n.path, rules.path)
+  GROUP BY row)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, '{LISTED}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM n LEFT JOIN fit USING (row)"""
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '</turn>'))
+            + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS escaped,
+         length(role) + len(regexp_extract_all(role, '[\\:]')) AS named
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(escaped + named + 4 + 2 + 9)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_KEY = _LOW.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")
+LINES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, {_KEY} AS key FROM l),
+often AS (SELECT key AS common FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10),
+m AS (SELECT k.*, CASE WHEN common IS NULL THEN 0 ELSE 1 END AS dropped FROM k LEFT JOIN often ON key = common)
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, sum(dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE dropped = 0), '')) AS kept_sha256
+FROM m GROUP BY row"""
+
+#: Fingerprints, learned scores, token ids, span positions and approximate searches have no SQL: tests hold them
+#: against brute force.
+SQL = {"op1_mix_sources": MIX_SQL, "op5_url_filter": URL_SQL, "op8_chat_format": CHAT_SQL, "op9_line_dedup": LINES_SQL}
