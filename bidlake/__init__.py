@@ -1,0 +1 @@
+"""Procurement analytics on Spark: quotes, purchase history, matching, documents, email threads and evaluation."""
