@@ -1,9 +1,11 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill.
 
 Each tree splits the vectors again and again by the median of a random projection; vectors near the median go to both
-sides. Vectors are compared within leaves only, in double precision, and found links are united. The trees' upper
-levels are fitted on a bounded sample; a leaf that turns out too large is split further by random planes through the
-middle of its part of the sample, as deep as its number of vectors asks for. Equal vectors are one node from the start.
+sides. How near follows from the cosine sought: a share of the spread that projecting two such vectors' difference
+has. A node so dense that most of it would go to both sides is not split. Vectors are compared within leaves only, in
+double precision, and found links are united. The trees' upper levels are fitted on a bounded sample; a leaf that
+turns out too large, and is not dense, is split further by random planes through the middle of its part of the sample,
+as deep as its number of vectors asks for. Equal vectors are one node from the start.
 """
 
 from __future__ import annotations
@@ -40,10 +42,11 @@ def _plane(tree: int, node: int, dim: int) -> np.ndarray:
 
 class Forest:
     """Trees for vectors of each dimension: ``nodes[tree, dim][node] = (low, high, centre of leaf or None)``. Node 1 is
-    the root, node n has the children 2n and 2n + 1; a vector goes left up to ``high`` and right from ``low``."""
+    the root, node n has the children 2n and 2n + 1; a vector goes left up to ``high`` and right from ``low``. ``dense``
+    holds the leaves that are not to be split any further."""
 
-    def __init__(self, sample: list[np.ndarray], total: int, trees: int, leaf: int, spill: float):
-        self.trees, self.nodes, self.deeper = trees, {}, {}
+    def __init__(self, sample: list[np.ndarray], total: int, cosine: float, trees: int, leaf: int, spill: float):
+        self.trees, self.nodes, self.deeper, self.dense = trees, {}, {}, set()
         by_dim: dict[int, list[np.ndarray]] = {}
         for v in sample:
             by_dim.setdefault(len(v), []).append(v)
@@ -59,10 +62,12 @@ class Forest:
                         nodes[node] = (0.0, 0.0, x[own].mean(axis=0) if len(own) else np.zeros(dim))
                         continue
                     p = x[own] @ _plane(t, node, dim)
-                    low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
+                    margin = spill * np.sqrt(2 * (1 - cosine) / dim)
+                    low, high = np.median(p) - margin, np.median(p) + margin
                     left, right = own[p <= high], own[p >= low]
-                    if max(len(left), len(right)) == len(own):
+                    if max(len(left), len(right)) > 0.85 * len(own):
                         nodes[node] = (0.0, 0.0, x[own].mean(axis=0))
+                        self.dense.add((t, dim, node))
                         continue
                     nodes[node] = (low, high, None)
                     todo += [(2 * node, left), (2 * node + 1, right)]
@@ -156,7 +161,7 @@ def _compare(group: pd.DataFrame, cosine: float, block: int = 1024) -> pd.DataFr
     return pd.DataFrame({"class_id": ids[linked], "links": links[linked], "other": ids[label[linked]]})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 4, leaf: int = 800, spill: float = 0.1, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 3, leaf: int = 800, spill: float = 0.7, sample: int = 20_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, ...)``.
 
     Vectors that are null, zero or hold null or non-finite components, and rows of a null vec_id, link with nothing
@@ -170,10 +175,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 4, lea
     good = vectors.where(ok).select("vec_id", F.col("embedding").alias("v"))
     classes = staged(good.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "classes")
     some = [np.asarray(r["v"], dtype=np.float64) for r in classes.orderBy(F.xxhash64("class_id"), "class_id").limit(sample).select("v").collect()]
-    forest = Forest(some, classes.count(), trees, leaf, spill)
+    forest = Forest(some, classes.count(), cosine, trees, leaf, spill)
     counts = _routed(classes.select("v"), forest, "tree int, dim int, leaf string, n long", _count)
     for r in counts.groupBy("tree", "dim", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * leaf).collect():  # leaves: bounded by the sample
-        forest.deeper[r["tree"], r["dim"], int(r["leaf"])] = int(np.ceil(np.log2(r["n"] / leaf)))
+        at = r["tree"], r["dim"], int(r["leaf"])
+        forest.deeper[at] = 0 if at in forest.dense else int(np.ceil(np.log2(r["n"] / leaf)))
     v = classes.schema["v"].dataType.simpleString()
     members = staged(_routed(classes, forest, f"key long, class_id long, n long, v {v}, keys array<long>", _members), "members")
     most = 4 * leaf
