@@ -190,28 +190,32 @@ def verification_requests(model: DataFrame, facts: DataFrame, instructed: DataFr
     return d.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
-def greedy_pairs(wanted: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-    """Align lines in order: the first unused line of the same part number, else of the same place, else the first unused; unused ones stay extra."""
-    left = list(given.itertuples(index=False))
-    rows = []
-    for i, w in enumerate(wanted.itertuples(index=False)):
-        hit = next((g for g in left if pd.notna(w.sku) and g.sku == w.sku), None) or next((g for g in left if g.line_no == i), left[0] if left else None)
-        rows.append((w.doc_id, w.line_no, hit.line_no if hit else None, bool(hit and pd.notna(w.sku) and hit.sku == w.sku)))
+def greedy_pairs(wanted: list, given: list) -> list[tuple[int | None, int | None, bool]]:
+    """Align lines ``(line_no, sku)`` in order: the first unused line of the same part number, else of the same place, else the first unused;
+    unused ones stay extra."""
+    left, rows = sorted(given), []
+    for i, (no, sku) in enumerate(sorted(wanted)):
+        hit = next((g for g in left if sku is not None and g[1] == sku), None)
+        by_sku = hit is not None
+        if hit is None:
+            hit = next((g for g in left if g[0] == i), left[0] if left else None)
+        rows.append((no, hit[0] if hit else None, by_sku))
         if hit:
             left.remove(hit)
-    rows += [(g.doc_id, None, g.line_no, False) for g in left]
-    return pd.DataFrame(rows, columns=["doc_id", "wanted_no", "given_no", "by_sku"])
+    return rows + [(None, no, False) for no, _ in left]
 
 
 def align_lines(wanted: DataFrame, given: DataFrame) -> DataFrame:
     """``doc_id, wanted_no, given_no, by_sku`` for lines ``(doc_id, line_no, sku)`` of both sides, document by document (lines number from 0)."""
-    kind = wanted.schema["doc_id"].dataType.simpleString()
 
-    def run(w: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        return greedy_pairs(w.sort_values("line_no"), g.sort_values("line_no"))
+    @F.pandas_udf("array<struct<wanted_no:int,given_no:int,by_sku:boolean>>")
+    def pairs(w: pd.Series, g: pd.Series) -> pd.Series:
+        lines = lambda x: [] if x is None else [(r["line_no"], r["sku"]) for r in x]
+        return pd.Series([[{"wanted_no": a, "given_no": b, "by_sku": c} for a, b, c in greedy_pairs(lines(x), lines(y))] for x, y in zip(w, g, strict=True)], dtype=object)
 
-    schema = f"doc_id {kind}, wanted_no int, given_no int, by_sku boolean"
-    return wanted.select("doc_id", "line_no", "sku").groupBy("doc_id").cogroup(given.select("doc_id", "line_no", "sku").groupBy("doc_id")).applyInPandas(run, schema)
+    side = lambda df, n: df.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sku")).alias(n))
+    both = side(wanted, "w").join(side(given, "g"), "doc_id", "full_outer")
+    return both.select("doc_id", F.explode(pairs("w", "g")).alias("p")).select("doc_id", "p.*")
 
 
 def align_lines_sql(wanted: DataFrame, given: DataFrame) -> DataFrame:
