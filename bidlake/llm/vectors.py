@@ -113,41 +113,43 @@ def _count(part: pd.DataFrame, dim: int, leaves: list) -> pd.DataFrame:
 
 
 def _members(part: pd.DataFrame, dim: int, leaves: list) -> pd.DataFrame:
-    """A row for each leaf of each vector, with the hashes of all its leaves: ``key, keys``."""
-    keys: list[list[int]] = [[] for _ in range(len(part))]
-    for t, node, own in leaves:
-        h = int.from_bytes(np.random.default_rng([t, node, dim]).bytes(8), "little", signed=True)
-        for i in own:
-            keys[i].append(h)
-    every = [np.sort(np.array(k, dtype=np.int64)) for k in keys]
-    at = np.repeat(np.arange(len(part)), [len(k) for k in every])
-    return pd.DataFrame({"key": np.concatenate(every), "class_id": part["class_id"].to_numpy()[at], "n": part["n"].to_numpy()[at], "v": part["v"].to_numpy()[at], "keys": [every[i] for i in at]})
+    """A row for each leaf of each vector, with the hashes of all its leaves: ``key, keys``. Vectors and hashes travel as bytes."""
+    rows = np.concatenate([own for *_, own in leaves])
+    hashes = [int.from_bytes(np.random.default_rng([t, node, dim]).bytes(8), "little", signed=True) for t, node, _ in leaves]
+    key = np.repeat(np.array(hashes, dtype=np.int64), [len(own) for *_, own in leaves])
+    order = np.argsort(rows, kind="stable")
+    bounds = np.searchsorted(rows[order], np.arange(len(part) + 1))
+    sets = [key[order[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    vs = [np.asarray(v, dtype="<f8").tobytes() for v in part["v"]]
+    return pd.DataFrame({"key": key, "class_id": part["class_id"].to_numpy()[rows], "n": part["n"].to_numpy()[rows], "v": [vs[i] for i in rows], "keys": [sets[i] for i in rows]})
 
 
 def _compare(group: pd.DataFrame, cosine: float, block: int = 1024) -> pd.DataFrame:
     """Links in a leaf (or between two chunks of one): of each vector the number of others linked for the first time
     here, and the smallest one of those connected here."""
     key, i, j = (group[c].iat[0] for c in ("key", "i", "j"))
-    x, n, ids = unit(_matrix(group["v"])), group["n"].to_numpy(), group["class_id"].to_numpy()
-    width = max(map(len, group["keys"]))
-    keys = np.array([np.pad(k, (0, width - len(k)), constant_values=key) for k in group["keys"]])
+    x = unit(np.frombuffer(b"".join(group["v"]), dtype="<f8").reshape(len(group), -1))
+    n, ids = group["n"].to_numpy(), group["class_id"].to_numpy()
+    # leaves are ordered by their key; a link is counted in the first leaf that both are in
+    keys = np.frombuffer(b"".join(group["keys"]), dtype="<i8")
+    at = np.repeat(np.arange(len(x)), [len(k) // 8 for k in group["keys"]])[keys < key]
+    names, column = np.unique(keys[keys < key], return_inverse=True)
+    earlier = np.zeros((len(x), len(names)), dtype=np.float32)
+    earlier[at, column] = 1
     chunk = group["chunk"].to_numpy()
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    links, label = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-    pairs = []
+    links, label, pairs = np.zeros(len(x), dtype=np.int64), np.arange(len(x)), []
     for lo in range(0, len(left), block):
         own = left[lo : lo + block]
-        a, b = np.nonzero(x[own] @ x[right].T >= cosine)
-        a, b = own[a], right[b]
-        once = a < b if i == j else a != b
-        pairs.append(np.stack([a[once], b[once]]))
+        near = x[own] @ x[right].T >= cosine
+        if i == j:
+            near &= own[:, None] < right[None, :]
+        new = near & (earlier[own] @ earlier[right].T == 0)
+        links[own] += new @ n[right]
+        links[right] += n[own] @ new
+        a, b = np.nonzero(near)
+        pairs.append(np.stack([own[a], right[b]]))
     a, b = np.concatenate(pairs, axis=1)
-    for lo in range(0, len(a), 20_000):
-        p, q = a[lo : lo + 20_000], b[lo : lo + 20_000]
-        # leaves are ordered by their key; a link is counted in the first leaf that both are in
-        before = ((keys[p][:, :, None] == keys[q][:, None, :]) & (keys[p] < key)[:, :, None]).any(axis=(1, 2))
-        p, q = p[~before], q[~before]
-        links += np.bincount(p, n[q], len(x)).astype(np.int64) + np.bincount(q, n[p], len(x)).astype(np.int64)
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -161,7 +163,7 @@ def _compare(group: pd.DataFrame, cosine: float, block: int = 1024) -> pd.DataFr
     return pd.DataFrame({"class_id": ids[linked], "links": links[linked], "other": ids[label[linked]]})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 3, leaf: int = 800, spill: float = 0.7, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 3, leaf: int = 800, spill: float = 0.5, sample: int = 20_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, ...)``.
 
     Vectors that are null, zero or hold null or non-finite components, and rows of a null vec_id, link with nothing
@@ -180,8 +182,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = 3, lea
     for r in counts.groupBy("tree", "dim", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * leaf).collect():  # leaves: bounded by the sample
         at = r["tree"], r["dim"], int(r["leaf"])
         forest.deeper[at] = 0 if at in forest.dense else int(np.ceil(np.log2(r["n"] / leaf)))
-    v = classes.schema["v"].dataType.simpleString()
-    members = staged(_routed(classes, forest, f"key long, class_id long, n long, v {v}, keys array<long>", _members), "members")
+    members = staged(_routed(classes, forest, "key long, class_id long, n long, v binary, keys binary", _members), "members")
     most = 4 * leaf
     large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most).select("key", F.ceil(F.col("size") / most).cast("int").alias("chunks"))
     rows = members.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
