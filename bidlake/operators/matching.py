@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from bidlake.functions.text import GENERIC_DOMAINS, email_domain, norm_email, norm_key, norm_supplier, rfq_token
 
@@ -111,7 +112,7 @@ def match_rfqs(texts: DataFrame, rfqs: DataFrame, left_id: str, *sources: str) -
     return out.withColumn("method", F.when(F.col("several"), "AMBIGUOUS_NUMBER").otherwise(F.col("method"))).drop("several")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
