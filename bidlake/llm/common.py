@@ -29,6 +29,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send whole texts to Python workers in batches of at most so many rows: what a worker and its JVM hold at once then
+    follows from texts' lengths, not from Arrow's default of 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def once(udf):
+    """A UDF that a later filter on its result does not make Spark run a second time."""
+    return udf.asNondeterministic()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has (case is ignored, as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -21,22 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import staged
+from bidlake.llm.common import small_batches, staged
 
 #: Distinct words of which a worker keeps the ids, and the word that separates words in one call of the tokenizer.
-KEPT_WORDS, MARK = 400_000, "\x00"
+KEPT_WORDS, MARK = 250_000, "\x00"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer never joins what ASCII white space separates and drops white space: a text's
-    ids are then its words' ids, one after the other, so each distinct word needs to be encoded once."""
+    """A tokenizer that lower-cases, whose pre-tokenizer never joins what ASCII white space separates and that drops
+    white space: a text's ids are then its words' ids, one after the other, so each distinct word needs to be encoded
+    once. Texts of Latin-1 are composed as they are, and lower-casing them is the same everywhere; their words skip the
+    tokenizer's normaliser."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
@@ -46,22 +49,26 @@ class WordTokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, words: list[str], step: int = 20_000) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
-        plain = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
-        ids = self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids if plain else []
-        ids = np.array(ids, dtype="<u4")
-        found = dict(zip(plain, (x.tobytes() for x in _split(ids, self.mark[0])), strict=True)) if plain else {}
-        rest = [w for w in words if w not in found]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        found: dict[str, bytes] = {}
+        sides: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for w in words:
+            sides[2 if MARK in w or len(self.mark) != 1 else 0 if _latin(w) and w == w.lower() else 1].append(w)
+        for side, tokenizer in zip(sides, (self.plain, self.tokenizer), strict=False):
+            for lo in range(0, len(side), step):
+                own = side[lo : lo + step]
+                ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+                found.update(zip(own, _split(ids, self.mark[0]), strict=True))
+        for w, e in zip(sides[2], self.tokenizer.encode_batch_fast(sides[2], add_special_tokens=False), strict=True):
             found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [found[w] for w in words]
+        return found
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [_words(x) for x in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        known, fresh = self.known, dict(zip(new, self.encode(new), strict=True))
+        split = [_words(x.lower() if _latin(x) else x) for x in texts]
+        known = self.known
+        fresh = self.encode(list({w for ws in split for w in ws if w not in known}))
         if len(known) + len(fresh) <= KEPT_WORDS:
             known.update(fresh)
             get = known.__getitem__
@@ -70,18 +77,30 @@ class WordTokenizer:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, without its own white space."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "\x85" not in text and "\xa0" not in text
+
+
 def _words(text: str) -> list[str]:
     for c in "\t\n\v\f\r":
         text = text.replace(c, " ")
     return [w for w in text.split(" ") if w]
 
 
-def _split(ids: np.ndarray, mark: int) -> list[np.ndarray]:
-    at = np.flatnonzero(ids == mark)
-    return [x[1:] if i else x for i, x in enumerate(np.split(ids, at))]
+def _split(ids: np.ndarray, mark: int) -> list[bytes]:
+    raw, at = ids.tobytes(), np.flatnonzero(ids == mark) * ids.itemsize
+    starts, ends = [0, *(at + ids.itemsize).tolist()], [*at.tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, batch_chars: int = 4_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, batch_chars: int = 1_500_000) -> DataFrame:
     """Encode ``docs(doc_id, text, ...)`` and cut it: ``doc_id, piece, start, length, ids_crc32``.
 
     A document is its ids and ``end_id`` (null text: only that). Documents longer than ``capacity`` are cut into
@@ -110,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 )
                 lo = hi
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
