@@ -145,13 +145,15 @@ def compare_quotes(quotes: DataFrame, lines: DataFrame, rfqs: DataFrame, require
         *rfq, "quote_id", "supplier_id", "supplier_name", "currency", "line_count", "subtotal", "total", "lead_time_days", "delivery_date", "eligible", "comparable",
         zero("orders").alias("historical_orders"), zero("findings").alias("findings"), "price_points", "lead_points", "reliability_points", "fit_points", "score", "lowest_cost", "fastest", "rank", "highest",
     )
-    best = scored.where("rank = 1").select(*rfq, F.col("quote_id").alias("recommended_quote_id"), F.col("supplier_name").alias("winner"), F.col("score").alias("winner_score"), F.col("total").alias("winner_total"), F.greatest(F.col("highest") - F.col("total"), none).alias("savings"))
-    per = scored.groupBy(*rfq).agg(F.count("*").alias("quotes"), F.count_if("eligible").alias("eligible"), F.count_distinct("supplier_id").alias("responses"))
+    first = F.min_by(F.struct("quote_id", "supplier_name", "score", "total", "highest"), F.when(F.col("rank") == 1, 1))
+    per = scored.groupBy(*rfq).agg(F.count("*").alias("quotes"), F.count_if("eligible").alias("eligible"), F.count_distinct("supplier_id").alias("responses"), first.alias("w"))
+    best = [F.col("w.quote_id").alias("recommended_quote_id"), F.col("w.supplier_name").alias("winner"), F.col("w.score").alias("winner_score"), F.col("w.total").alias("winner_total"), F.greatest(F.col("w.highest") - F.col("w.total"), none).alias("savings")]
+    per = per.select(*rfq, "quotes", "eligible", "responses", *best)
     said = F.when(
         F.col("winner").isNotNull(),
         F.format_string("%s ranks first with %s of 100 points at %s %s.", "winner", F.col("winner_score").cast("string"), "currency", F.format_number("winner_total", 2)),
     ).otherwise("No quote meets all requirements yet; resolve the blocking findings first.")
-    requests = rfqs.join(per, rfq, "left").join(best, rfq, "left").select(
+    requests = rfqs.join(per, rfq, "left").select(
         *rfq, "currency", zero("quotes").alias("quotes"), zero(F.col("eligible")).alias("eligible"), zero("responses").alias("responses"), "recommended_quote_id", "winner", "winner_score", "winner_total", F.coalesce("savings", none).alias("savings"), said.alias("explanation"),
     )
     return Comparison(scored.drop("highest"), own, findings, requests)

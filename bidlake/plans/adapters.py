@@ -45,13 +45,13 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where("l_linestatus = 'F'")
+def history(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return (rows or base(spark, sf_dir)).where("l_linestatus = 'F'")
 
 
-def quote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quote_rows(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Quotes of one line each."""
-    b = base(spark, sf_dir).where("l_linestatus = 'O' and date >= date'2000-01-01'")
+    b = (rows or base(spark, sf_dir)).where("l_linestatus = 'O' and date >= date'2000-01-01'")
     stated = F.when((F.col("l_returnflag") == "R") & (F.col("line_no") == 5), F.col("l_extendedprice").cast("decimal(18,4)"))
     return b.select(
         "organization_id",
@@ -70,9 +70,9 @@ def quote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("decimal(18,4)")
-    q = quote_rows(spark, sf_dir)
+    q = quote_rows(spark, sf_dir, rows)
     return q.select(
         "organization_id", "quote_id", "rfq_id", "supplier_id", "supplier_name", "quote_number", "quote_date", "expiration_date", "currency", "shipping_cost", "tax", "confidence",
         none.alias("stated_subtotal"), none.alias("stated_total"), F.lit("Needs Review").alias("review_status"), F.col("quote_date").cast("timestamp").alias("created_at"),
@@ -83,8 +83,8 @@ TIER = "array<struct<minimum:decimal(18,4),maximum:decimal(18,4),unit_price:deci
 EVIDENCE = "map<string,struct<source_text:string,confidence:decimal(5,4)>>"
 
 
-def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_rows(spark, sf_dir).select(
+def quote_lines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return quote_rows(spark, sf_dir, rows).select(
         "organization_id", "quote_id", "line_no", "item_id", F.col("item_id").cast("string").alias("supplier_sku"), "quantity", "uom", "unit_price", "moq", "lead_time_days",
         F.lit(None).cast("date").alias("delivery_date"), "stated_line_total", "confidence", F.lit(None).cast(TIER).alias("price_tiers"), F.lit(None).cast(EVIDENCE).alias("source_references"),
     )

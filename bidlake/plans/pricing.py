@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bidlake.operators import compare, pricing
 from bidlake.plans import adapters as a
 from bidlake.plans.sql import AS_OF, BASE, PRICED, SCORED, with_
+from bidlake.sources.sinks import shared_table
 
 
 def _double(*names: str) -> list:
@@ -15,8 +16,10 @@ def _double(*names: str) -> list:
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> compare.Comparison:
+    """The whole comparison; the joined line items are written once, since quotes, lines and history all read them."""
+    rows = shared_table(a.base(spark, sf_dir), "line_items")
     return compare.compare_quotes(
-        a.quotes(spark, sf_dir), a.quote_lines(spark, sf_dir), a.rfqs(spark, sf_dir), a.requirements(spark, sf_dir), a.items(spark, sf_dir), a.suppliers(spark, sf_dir), a.history(spark, sf_dir), a.settings(spark), a.AS_OF
+        a.quotes(spark, sf_dir, rows), a.quote_lines(spark, sf_dir, rows), a.rfqs(spark, sf_dir), a.requirements(spark, sf_dir), a.items(spark, sf_dir), a.suppliers(spark, sf_dir), a.history(spark, sf_dir, rows), a.settings(spark), a.AS_OF
     )
 
 

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset) and read from there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/bidlake-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def audit_rows(changes: DataFrame, action: str, entity: str, entity_id: str, old: Column, new: Column) -> DataFrame:
     """Audit rows with old and new values as JSON; the id is a hash of the content, so that writing again can be told."""
     rows = changes.select("organization_id", F.lit(action).alias("action"), F.lit(entity).alias("entity"), F.col(entity_id).cast("string").alias("entity_id"), F.to_json(old).alias("old_values"), F.to_json(new).alias("new_values"))

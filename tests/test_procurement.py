@@ -142,3 +142,21 @@ def test_thread_rule_on_shuffled_rows(spark):
     c = story(spark)
     again = [tuple(r) for r in c.quotes.repartition(5).orderBy("quote_id").collect()]
     assert again == [tuple(r) for r in c.quotes.orderBy("quote_id").collect()]
+
+
+def test_layout(spark):
+    from bidlake.operators import layout
+
+    words = [("Unit", 1, 10.0, 14.0), ("Price", 1, 15.0, 20.0), ("SKU", 1, 0.0, 5.0), ("A-1", 2, 0.0, 4.0), ("2.50", 2, 11.0, 14.0), ("B", 3, 1.0, 2.0), ("2", 3, 3.0, 4.0)]
+    w = spark.createDataFrame([("d", 1, n, a, b, t) for t, n, a, b in words], "doc_id string, page int, line int, x0 double, x1 double, text string")
+    h = layout.header_phrases(w.where("line = 1"))
+    assert {r["text"]: r["field"] for r in h.collect()} == {"Unit": "unit_price", "Price": None, "SKU": "supplier_sku"}
+    got = {(r["line"], r["field"]): r["value"] for r in layout.cells(w.where("line > 1"), layout.column_bounds(h)).collect()}
+    assert got == {(2, "supplier_sku"): "A-1", (2, "unit_price"): "2.50", (3, "supplier_sku"): "B 2"}
+
+
+def test_sql_functions(spark):
+    from bidlake.functions import sql
+
+    sql.register(spark)
+    assert tuple(spark.sql("SELECT norm_key('A-1 b'), email_domain(' X@Y.z '), money(1.005)").first()) == ("a1b", "y.z", D("1.01"))
