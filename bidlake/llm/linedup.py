@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, staged
+from bidlake.llm.common import fresh, once, small_batches, staged
 
 SEEDS = (42, 7)
 _BLANK = " \t\n\v\f\r"
@@ -137,6 +137,7 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan: in
     Up to ``max_sent`` hashes (16 bytes each) are broadcast; if there are more, each text finds its own dropped hashes
     by joins. Both ways give the same rows.
     """
+    small_batches(docs.sparkSession)
     n_lines, n_dropped, got, key, mine = fresh(docs, "n_lines", "n_dropped", "got", "text_key", "drops")
     often = frequent(docs, min_docs, batches, fan).select("h")
     if often.limit(max_sent + 1).count() <= max_sent:
@@ -146,7 +147,7 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan: in
         def strip(text: pd.Series) -> pd.DataFrame:
             return _result([_strip(x, sent.value) for x in text])
 
-        out = docs.withColumn(got, strip("text"))
+        out = docs.withColumn(got, once(strip)("text"))
     else:
 
         @F.pandas_udf(_KIND)
@@ -156,7 +157,7 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan: in
         keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
         hashes = staged(_hashes_of_texts(keyed.select(F.col(key).alias("k"), "text")), "text_lines")
         hits = hashes.join(often, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias(mine))
-        out = keyed.join(hits.withColumnRenamed("k", key), key, "left").withColumn(got, strip_own("text", mine))
+        out = keyed.join(hits.withColumnRenamed("k", key), key, "left").withColumn(got, once(strip_own)("text", mine))
     cols = [F.col(f"{got}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols, F.col(f"{got}.n_lines").alias(n_lines), F.col(f"{got}.n_dropped").alias(n_dropped))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh
+from bidlake.llm.common import fresh, once, small_batches
 
 WORD_BITS, RANK, BINS = 15, 8, 16
 #: Structure statistics and metadata, each cut into BINS intervals (a feature each) behind the hashed words.
@@ -142,6 +142,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """Add ``held_out, score, predicted`` to ``docs(doc_id, text, ...)``. Only the text is looked at: null counts as
     empty, and empty texts get the score of their statistics. Rows of one text score alike; an empty table stays
     empty. Columns with such names stay; the new ones then get underscores in front."""
+    small_batches(docs.sparkSession)
     held, value, predicted = fresh(docs, "held_out", "score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (RANK + 1) numbers, whatever the corpus
 
@@ -149,5 +150,5 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     def judge(text: pd.Series) -> pd.Series:
         return pd.Series([sent.value.score(*features(t)) for t in text], dtype=float)
 
-    out = docs.withColumn(held, held_out(F.col("doc_id"))).withColumn(value, judge("text"))
+    out = docs.withColumn(held, held_out(F.col("doc_id"))).withColumn(value, once(judge)("text"))
     return out.withColumn(predicted, (F.col(value) >= 0.5).cast("int"))

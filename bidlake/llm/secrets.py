@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, staged
+from bidlake.llm.common import fresh, small_batches, staged
 
 #: Fixed patterns, in the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -91,6 +91,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     they are joined by the text's hash; an empty table stays empty. Columns with such names stay; the new ones then
     get underscores in front. Only hashes of candidates leave the scan.
     """
+    small_batches(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS[:3]]
     names = fresh(docs, *counts, "n_live", "n_example", "base_sha256", "spans", "text_key", "found")
     *new, key, found = names

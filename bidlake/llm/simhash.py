@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, staged
+from bidlake.llm.common import fresh, small_batches, staged
 from bidlake.llm.graph import components
 
 SEED, BITS, BYTES = 42, 64, 8
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, name: str = "fp", shingle: int = 3) -> DataFra
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", name])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {name} long")
 
 
