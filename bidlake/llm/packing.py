@@ -66,7 +66,8 @@ class WordTokenizer:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [_words(x.lower() if _latin(x) else x) for x in texts]
+        # special tokens are matched as written, before the normaliser
+        split = [_words(x.lower() if _latin(x) and "<|" not in x else x) for x in texts]
         known = self.known
         fresh = self.encode(list({w for ws in split for w in ws if w not in known}))
         if len(known) + len(fresh) <= KEPT_WORDS:

@@ -85,7 +85,7 @@ def test_sequences(spark):
 
 def test_word_tokenizer():
     t = packing.WordTokenizer.of(WORDS)
-    texts = ["Don't stop,\tit's 12,5 €", "a\x00b \x00", "Ünï\u0301code\u00a0x\u2003y 日本語 😀", "", " \n ", "x\x1cy", "ÀÉ STRASSE straße µm\xa0b İi Σας ΟΔΟΣ", "A\x85B c\x00D"]
+    texts = ["Don't stop,\tit's 12,5 €", "a\x00b \x00", "Ünï\u0301code\u00a0x\u2003y 日本語 😀", "", " \n ", "x\x1cy", "ÀÉ STRASSE straße µm\xa0b İi Σας ΟΔΟΣ", "A\x85B c\x00D", "a<|ENDOFTEXT|>B <|endoftext|>c X<|startoftext|>"]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert t.texts(texts) == want
 
