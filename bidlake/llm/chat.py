@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.llm.common import small_batches
+
 #: A turn is OPEN, the role, MID, the text, CLOSE. Escaped texts hold neither OPEN nor CLOSE.
 OPEN, MID, CLOSE = "### ", ":\n", "\n</turn>\n"
 _CONTROL = re.compile(r"\\|(?<=#)#(?=#)|(?<=<)/(?=turn>)")
@@ -102,8 +104,8 @@ def format_chats(turns: DataFrame, tokenizer: str, loss_role: str = "assistant")
             _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer)
             _tokenizers[tokenizer].encode_special_tokens = True
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo : lo + 256]
+            for lo in range(0, len(b), 64):
+                part = b.iloc[lo : lo + 64]
                 done = [render([(t["role"], t["text"]) for t in ts], loss_role) for ts in part["turns"]]
                 encoded = _tokenizers[tokenizer].encode_batch([f for f, _ in done], add_special_tokens=False)
                 rows = []
@@ -112,6 +114,7 @@ def format_chats(turns: DataFrame, tokenizer: str, loss_role: str = "assistant")
                     rows.append((conv, formatted, len(ts), e.ids, mask.tolist(), hits.astype(np.int32).tolist()))
                 yield pd.DataFrame(rows, columns=["conv_id", "formatted", "n_turns", "token_ids", "loss_mask", "loss_parts"])
 
+    small_batches(turns.sparkSession, 200)
     empty = F.lit("")
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), empty).alias("role"), F.coalesce(F.col("text"), empty).alias("text"))
     whole = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
