@@ -105,8 +105,10 @@ def frequent(docs: DataFrame, min_docs: int, batches: int = 4, fan: int = 2) ->
     lines = staged(line_hashes(docs, batches), "lines")
     counts, settled = SortedRuns(fan), SortedRuns(fan)
     for i in range(batches):
-        new = settled.unseen(lines.where(F.col("batch") == i).select("h"))
-        counts.add(new.withColumn("n", F.lit(1).cast("long")))
+        batch = lines.where(F.col("batch") == i).groupBy("h").agg(F.count("*").alias("n"))
+        if settled.runs:  # written first: else Spark joins the lines before it counts them, and a frequent one is one task's
+            batch = staged(batch, "batch")
+        counts.add(settled.unseen(batch))
         if not counts.levels[0] and i + 1 < batches:
             done = settled.unseen(counts.total().where(F.col("n") >= min_docs))
             settled.add(done)
