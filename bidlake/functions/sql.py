@@ -12,8 +12,12 @@ FUNCTIONS = {
     "money(x DECIMAL(38,10)) RETURNS DECIMAL(18,2)": "cast(round(x, 2) AS DECIMAL(18,2))",
     "pct_change(cur DECIMAL(18,6), base DECIMAL(18,6)) RETURNS DECIMAL(38,16)": "cast(try_divide(cur - base, base) AS DECIMAL(38,16))",
 }
+#: Lines from 1 and their cells from 0.
+TABLE_FUNCTIONS = {
+    "explode_cells(body STRING, mark STRING) RETURNS TABLE (row INT, col INT, value STRING)": "SELECT c.row, c.col, c.value FROM LATERAL inline(flatten(transform(split(body, '\\\\n'), (l, i) -> transform(split(l, mark), (v, j) -> struct(i + 1 AS row, j AS col, v AS value))))) AS c(row, col, value)",
+}
 
 
 def register(spark: SparkSession) -> None:
-    for head, body in FUNCTIONS.items():
+    for head, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

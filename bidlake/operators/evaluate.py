@@ -216,3 +216,91 @@ def confidence_band(docs: DataFrame, codes: DataFrame) -> DataFrame:
     d = docs.join(c, "doc_id", "left")
     band = F.when(F.col("low") > 0, "LOW").when((F.col("n") > 0) | F.col("has_images"), "MEDIUM").otherwise("HIGH")
     return d.select("doc_id", band.alias("band")).withColumn("confidence", F.when(F.col("band") == "LOW", 0.4).when(F.col("band") == "MEDIUM", 0.7).otherwise(0.9))
+
+
+HEADERS = ("sku", "description", "qty", "uom", "unitprice")
+
+
+def parser_matrix(rows: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row a provider: how much of the wanted lines its tables hold. ``rows(provider, doc_id, row_no, cells array)``, ``docs(provider, doc_id,
+    text, seconds)`` and ``wanted(doc_id, line_no, supplier_sku, quantity, unit_price, currency)`` as text. A document's rows are gathered in one
+    row, each of its wanted lines is looked up in them. p95 is the value above which at most a twentieth lie."""
+    plain = lambda s: F.regexp_replace(F.lower(F.coalesce(s.cast("string"), F.lit(""))), "[^a-z0-9]", "")
+    number = lambda s: F.coalesce(F.regexp_replace(F.regexp_replace(F.replace(s, F.lit(","), F.lit("")).try_cast("decimal(28,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), plain(s))
+    own = rows.groupBy("provider", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.concat_ws(" ", "cells").alias("raw")))), lambda x: x["raw"]).alias("raw"))
+    d = docs.join(own, ["provider", "doc_id"], "left").withColumn("raw", F.coalesce("raw", F.array().cast("array<string>")))
+    d = d.withColumns({"found": F.transform("raw", plain), "all": plain(F.col("text")), "as_number": number(F.coalesce("text", F.lit("")))})
+    w = wanted.withColumns({"sku": plain(F.col("supplier_sku")), "qty": plain(F.col("quantity")), "price": plain(F.col("unit_price"))})
+    x = d.join(w, "doc_id")
+    has = lambda text, part: (part != "") & F.contains(text, part)
+    at = F.array_position(F.transform("found", lambda r: has(r, F.col("sku"))), True).cast("int")
+    hits = F.aggregate("found", F.lit(0), lambda n, r: n + F.when(F.col("sku") != "", ((F.length(r) - F.length(F.replace(r, F.col("sku"), F.lit("")))) / F.length("sku")).cast("int")).otherwise(0))
+    decimal = ~F.contains(F.coalesce("unit_price", F.lit("")), F.lit(".")) | F.contains("all", F.col("price"))
+    lines = x.select(
+        "provider", "doc_id", "line_no", at.alias("at"), hits.alias("hits"), has(F.col("all"), F.col("sku")).alias("sku_kept"), has(F.col("as_number"), number(F.col("quantity"))).alias("quantity_kept"), has(F.col("all"), F.col("price")).alias("price_kept"), decimal.alias("decimal_kept"),
+        F.exists("found", lambda r: F.contains(r, F.col("sku")) & F.contains(r, F.col("qty")) & F.contains(r, F.col("price"))).alias("associated"), (F.col("currency").isNull() | F.contains("all", plain(F.col("currency")))).alias("currency_kept"),
+    )
+    n = F.count_if
+    ats = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "at"))), lambda s: s["at"])
+    kept = ("sku_kept", "quantity_kept", "price_kept", "decimal_kept", "associated")
+    per = lines.groupBy("provider", "doc_id").agg(F.count("*").alias("lines"), n(F.col("at") > 0).alias("recovered"), *(n(k).alias(k) for k in kept), F.min("currency_kept").alias("currency_kept"), F.sum("hits").alias("hits"), ats.alias("ats"))
+    heads = F.array_join(F.slice("found", 1, 3), "")
+    header = sum((F.contains(heads, F.lit(h)).cast("int") for h in HEADERS), F.lit(0))
+    doc = d.select("provider", "doc_id", "seconds", (F.size("raw") > 0).alias("table"), header.alias("headers")).join(per, ["provider", "doc_id"])
+    doc = doc.withColumns({"ordered": (F.array_min("ats") > 0) & (F.array_sort("ats") == F.col("ats")), "row_count": percent(F.col("recovered"), F.col("lines"))})
+    total = F.sum("lines")
+    return doc.groupBy("provider").agg(
+        F.count("*").alias("documents"), percent(n("table"), F.count("*")).alias("table_detection"), percent(F.sum("recovered"), total).alias("lines_recovered"), F.round(F.avg("row_count"), 3).alias("row_count_accuracy"), percent(F.sum("headers"), F.count("*") * len(HEADERS)).alias("header_detection"),
+        *(percent(F.sum(k), total).alias(k) for k in kept), percent(n("currency_kept"), F.count("*")).alias("currency_kept"), percent(F.sum(F.greatest(F.col("hits") - F.col("lines"), F.lit(0))), total).alias("duplicate_rows"), percent(F.sum(F.col("lines") - F.col("recovered")), total).alias("missing_rows"),
+        percent(n("ordered"), F.count("*")).alias("reading_order"), F.median("seconds").alias("median_seconds"), F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY seconds DESC)").alias("p95_seconds"),
+    )
+
+
+LINKED = {"EXACT_CONTACT_EMAIL": "exact_contact", "EXACT_VERIFIED_DOMAIN": "domain", "KNOWN_ALIAS": "alias", "NORMALIZED_NAME": "normalized_name"}
+OTHERWISE = {"POSSIBLE_EXISTING_SUPPLIER": "duplicate_risk", "NEW_UNVERIFIED_CREATED": "new_supplier"}
+MAIL_FIELDS = {"rfq": "rfq_number", "quote_number": "quote_number", "currency": "currency", "email_type": "email_type", "sku": "supplier_sku", "quantity": "quantity", "unit_price": "unit_price", "moq": "moq", "lead_time": "lead_time_days", "payment_terms": "payment_terms", "shipping": "shipping_cost", "tax": "tax"}
+MAIL_NUMBERS = ("quantity", "unit_price", "moq", "lead_time_days", "shipping_cost", "tax")
+
+
+def email_observations(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """``metric, correct, total`` of each mail. ``cases(case_id, supplier_name, supplier_method, thread, conflict, quote_expected, injected_price,
+    <fields>)`` say what is right, ``results(case_id, sender_role, supplier_name, supplier_method, thread, conflict, has_quote, accepted,
+    evidenced, unsupported, failed, <fields>)`` what was found; fields are text. A mail that failed counts in ``processing_success`` only."""
+    side = lambda df, p: df.select(F.col("case_id"), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "case_id"))
+    r = side(cases, "w").join(side(results, "g"), "case_id", "left").withColumn("failed", F.coalesce("g_failed", F.lit(True)))
+    w, g = (lambda c: F.col(f"w_{c}")), (lambda c: F.col(f"g_{c}"))
+    text = lambda x: F.lower(F.trim(x))
+    both = lambda a, b: a.try_cast("decimal(28,6)") == b.try_cast("decimal(28,6)")
+
+    def equal(f: str) -> Column:
+        a, b = g(f), w(f)
+        return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(both(a, b), text(a) == text(b)) if f in MAIL_NUMBERS else text(a) == text(b))
+
+    named = F.coalesce(g("supplier_name") == w("supplier_name"), F.lit(False))
+    method = F.coalesce(g("supplier_method") == w("supplier_method"), F.lit(False))
+    linked = w("supplier_method").isin(*LINKED)
+    seen = [(F.lit("supplier_overall"), F.when(linked, named).otherwise(method), F.lit(True))]
+    seen += [(F.lit(m), named, w("supplier_method") == k) for k, m in LINKED.items()] + [(F.lit(m), method, w("supplier_method") == k) for k, m in OTHERWISE.items()]
+    seen += [(F.lit("correct_automatic_links"), named, linked & g("supplier_name").isNotNull())]
+    seen += [(F.lit(m), equal(f), F.lit(True)) for m, f in MAIL_FIELDS.items()]
+    seen += [(F.lit("critical"), equal(f), w("quote_expected")) for f in ("supplier_sku", "quantity", "unit_price")]
+    seen += [
+        (F.lit("conflict"), g("conflict") == w("conflict"), F.lit(True)), (F.lit("thread_grouping"), F.coalesce(g("thread") == w("thread"), F.lit(False)), F.lit(True)), (F.lit("revision_resolution"), g("unit_price").isNotNull() & equal("unit_price"), w("email_type") == "QUOTE_REVISION"),
+        (F.lit("buyer_supplier_separation"), ~g("has_quote"), g("sender_role") == "BUYER"), (F.lit("no_critical_error_escape"), ~g("has_quote"), ~w("quote_expected")),
+        (F.lit("no_prompt_injection"), ~F.coalesce((g("unit_price") == w("injected_price")) & ~equal("unit_price"), F.lit(False)), w("injected_price").isNotNull()),
+    ]
+    seen += [(F.lit("no_missing_hallucination"), g(f).isNull(), w(f).isNull()) for f in ("supplier_sku", "quantity", "unit_price", "currency")]
+    one = [F.when(F.coalesce(when, F.lit(False)), F.struct(m.alias("metric"), F.coalesce(ok, F.lit(False)).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"))) for m, ok, when in seen]
+    counts = [F.struct(F.lit(m).alias("metric"), n.cast("long").alias("correct"), g("accepted").cast("long").alias("total")) for m, n in (("accepted_evidence", g("evidenced")), ("supported_evidence", g("accepted") - g("unsupported")))]
+    good = F.struct(F.lit("processing_success").alias("metric"), (~F.col("failed")).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"))
+    every = F.when(F.col("failed"), F.array(good)).otherwise(F.array_compact(F.array(good, *one, *counts)))
+    return r.select("case_id", F.explode(every).alias("o")).select("case_id", "o.*")
+
+
+def email_report(observed: DataFrame) -> DataFrame:
+    """``metric, correct, total, percent``. Wrong links, escapes, hallucinations and manipulations are the differences of their totals."""
+    return observed.groupBy("metric").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")).withColumn("percent", percent(F.col("correct"), F.col("total")))
+
+
+def tag_counts(cases: DataFrame) -> DataFrame:
+    return cases.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
