@@ -4,7 +4,9 @@ Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of the
 positional bytes. The index lists fingerprints under sets of positional bytes: first under pairs of two-byte blocks
 (at least two of four blocks must be shared); the members of a list that is too long go under all sets of six bytes
 instead. For each pair that meets in a list the shared positional bytes are tallied, pairs with fewer than 6 go, and
-the rest are verified by Hamming distance. Equal fingerprints are one node from the start, so copies make no pairs.
+the rest are verified by Hamming distance. Where even a list of six bytes is too long, its members look up what differs
+from them in few bits of the two bytes left, so no list emits all its pairs. Equal fingerprints are one node from the
+start, so copies make no pairs.
 """
 
 from __future__ import annotations
@@ -82,20 +84,39 @@ def _pairs(lists: DataFrame, max_bits: int) -> DataFrame:
     return tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
 
 
+def _flipped(lists: DataFrame, fps: DataFrame, max_bits: int) -> DataFrame:
+    """Links within lists of six shared bytes: members with up to ``max_bits`` of the 16 bits left flipped, where ``fps``
+    has them. A member looks up 136 values at most, however long its list is."""
+    masks = [sum(1 << b for b in bits) for n in range(1, max_bits + 1) for bits in combinations(range(16), n)]
+    if not masks:
+        return lists.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    left = [[8 * (BYTES - 1 - i) for i in range(BYTES) if i not in s] for s in NARROW]
+    high, low = (F.element_at(F.array(*(F.lit(x[k]) for x in left)), F.col("at") + 1) for k in (0, 1))
+    asked = lists.select("fp", high.alias("high"), low.alias("low"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m"))
+    flip = F.expr("shiftleft(shiftright(m, 8), high) | shiftleft(m & 255, low)")
+    asked = asked.select(F.col("fp").alias("a"), F.col("fp").bitwiseXOR(flip).alias("b")).where("a < b")
+    return asked.join(fps.select(F.col("fp").alias("b")), "b").select("a", "b").distinct()
+
+
 def links(fps: DataFrame, max_bits: int = 2, long_list: int = 256) -> DataFrame:
     """All pairs ``a < b`` of the distinct fingerprints ``fps(fp)`` that differ in at most ``max_bits`` (up to 2) bits.
 
     Lists of up to ``long_list`` members are paired at once, so the pairs are at most that many times the members;
-    members of longer lists are listed again under six bytes, where only the bits of two bytes are left to differ.
+    members of longer lists are listed again under six bytes, and in lists that are still longer each looks up its
+    neighbours by flipping bits of the two bytes left.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2: six shared bytes are guaranteed for these only")
-    wide = staged(_lists(fps, WIDE), "lists")
-    longer = wide.groupBy("at", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > long_list)
+    short, longer = _by_length(staged(_lists(fps, WIDE), "lists"), long_list)
+    narrow, dense = _by_length(staged(_lists(longer.select("fp").distinct(), NARROW), "narrow"), long_list)
+    return _pairs(short, max_bits).unionByName(_pairs(narrow, max_bits)).unionByName(_flipped(dense, fps, max_bits)).distinct()
+
+
+def _by_length(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of lists of up to ``most`` members, and those of longer ones."""
+    longer = lists.groupBy("at", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > most)
     longer = staged(longer.select("at", "bytes"), "longer")
-    short = wide.join(longer, ["at", "bytes"], "left_anti")
-    again = wide.join(longer, ["at", "bytes"], "left_semi").select("fp").distinct()
-    return _pairs(short, max_bits).unionByName(_pairs(_lists(again, NARROW), max_bits)).distinct()
+    return lists.join(longer, ["at", "bytes"], "left_anti"), lists.join(longer, ["at", "bytes"], "left_semi")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:

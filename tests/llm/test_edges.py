@@ -104,6 +104,7 @@ def test_simhash_long_lists(spark):
     """Fingerprints around one centre fill lists beyond the limit; all links are found all the same."""
     rng = np.random.default_rng(3)
     fps = {int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for _ in range(400)}
+    fps = sorted({*fps, *(0xF1E2D3C4B5A60000 | i for i in range(60)), *(0x0102030405060708 ^ (i << 56) ^ (j << 16) for i in range(8) for j in range(8))})
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     want = {tuple(sorted((a, b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
     for limit in (3, 10_000):
