@@ -29,6 +29,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs``, written once with a number ``row`` for each row, so that repeated rows and null ids can be told apart."""
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+def one_of_each(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """Of ``rows``, numbered by ``row``, one row of each group of ``groups(row, group)``: the one with the smallest id (null
+    after all others), among equal ids that with the least hash of all columns. Rows alike in all columns are told apart
+    by number. The number is dropped."""
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != row]
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*columns), F.col(row).alias("chosen")).alias("rank")
+    best = groups.toDF("at", "group").join(rows.select(F.col(row).alias("at"), rank), "at").groupBy("group").agg(F.min("rank").alias("rank"))
+    return rows.join(best.select("rank.chosen"), F.col(row) == F.col("chosen"), "left_semi").select(*columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send whole texts to Python workers in batches of at most so many rows: what a worker and its JVM hold at once then
     follows from texts' lengths, not from Arrow's default of 10,000 rows."""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, small_batches, staged
+from bidlake.llm.common import fresh, numbered, one_of_each, small_batches, staged
 from bidlake.llm.graph import components
 
 SEED, BITS, BYTES = 42, 64, 8
@@ -137,7 +137,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> Dat
 
 
 def keep_one(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` (unique ids) that are the smallest id of their component, in the columns of ``docs``."""
-    found = near_duplicates(docs, max_bits, shingle)
-    (kept,) = fresh(docs, "kept_id")
-    return docs.join(found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)), F.col("doc_id") == F.col(kept), "left_semi")
+    """One row of each component of ``docs``, in the columns of ``docs``: that with the smallest id. Null ids come after
+    all others, and rows that share an id are rows of their own."""
+    (row,) = fresh(docs, "row_number")
+    rows = numbered(docs, row)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), max_bits, shingle)
+    return one_of_each(rows, row, found.select("doc_id", "component_id"))

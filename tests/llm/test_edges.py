@@ -100,6 +100,17 @@ def test_simhash(docs, nothing):
     assert {r["doc_id"] for r in kept} == {1, 2, 4}
 
 
+def test_keep_one_of_null_and_repeated_ids(spark, docs, nothing):
+    """Each component keeps exactly one row, whether its ids are null, repeated or shared with other texts."""
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 2), (False, 4), (True, 0)]
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (5, "u v w x y z"), (None, "k l m n o p"), (None, "k l m n o p"), (7, "a b c d e f")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == ["a b c d e f", "k l m n o p", "u v w x y z"]
+    assert [r["doc_id"] for r in sorted(kept, key=lambda r: r["text"])] == [1, None, 1]
+    assert simhash.keep_one(nothing).count() == 0
+
+
 def test_simhash_long_lists(spark):
     """Fingerprints around one centre fill lists beyond the limit; all links are found all the same."""
     rng = np.random.default_rng(3)
