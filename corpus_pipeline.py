@@ -21,10 +21,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold; ``n_chars`` follows the text. Documents that had only
-    such lines are left without text and go."""
-    left = linedup.drop_frequent(docs, 10).select(*docs.columns).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    """Documents without the lines that ten or more of them hold; ``n_chars`` follows the text. A document that would be
+    left without a word keeps its whole text, so that of many copies the next stage still finds one to keep."""
+    (whole,) = fresh(docs, "whole")
+    left = linedup.drop_frequent(docs.withColumn(whole, F.col("text")), 10)
+    left = left.withColumn("text", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.col(whole))).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
