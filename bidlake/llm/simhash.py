@@ -31,24 +31,34 @@ WIDE = [a + b for a, b in combinations(BLOCKS, 2)]
 NARROW = list(combinations(range(BYTES), 6))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of a text as an unsigned integer: of the XXH64 hashes of its word shingles, repeats included, the bits
-    set in over half. A-Z are lower-cased; fewer words than a shingle are one shingle; no words give 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 hashes of a text's word shingles, repeats included. A-Z are lower-cased; fewer words than a shingle are one
+    shingle; no words give none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - shingle + 1)].tolist()
     stops = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer; 0 if there are none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(h), 4096):
         ones += np.unpackbits(h[lo : lo + 4096].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of a text as an unsigned integer: of the hashes of its word shingles the bits set in over half; no words
+    give 0."""
+    return bits_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, name: str = "fp", shingle: int = 3) -> DataFrame:
     """``doc_id`` and the fingerprint, as a signed long, of every row of ``docs(doc_id, text, ...)``."""
 

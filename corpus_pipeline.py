@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import linedup, mixing, packing, quality, simhash
+from bidlake.llm import linedup, mixing, nearcopies, packing, quality
 from bidlake.llm.common import fresh, staged
 
 
@@ -32,8 +32,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id, null ids last."""
-    return simhash.keep_one(docs)
+    """One row of each group of near-duplicates (five-word shingles of similarity 0.8 or more): the one with the smallest id,
+    null ids last."""
+    return nearcopies.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bidlake.llm import mixing, quality, simhash
+from bidlake.llm import mixing, nearcopies, quality, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,3 +100,34 @@ def test_many_copies_leave_one(spark, sf_dir):
     mixed = corpus_pipeline.mix(spark, spark.createDataFrame(kept.collect(), docs.schema), sf_dir)
     packed = corpus_pipeline.pack(spark, spark.createDataFrame(mixed.collect(), docs.schema), sf_dir).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed.collect()} >= {0}
+
+
+def _near(rng, similarity, n=400):
+    """Two texts of ``n`` words whose five-word shingles have about this Jaccard similarity: single words replaced."""
+    words = [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    other, changes = list(words), round((n - 4) * (1 - similarity) / (1 + similarity) / 5)
+    for i in range(changes):
+        other[5 + i * (n // changes)] = f"x{rng.integers(1 << 40)}"
+    return " ".join(words), " ".join(other)
+
+
+def test_near_copies_from_similarity_080(spark, sf_dir):
+    """Pairs at 0.8 to 0.95 keep one row each, as brute force says; pairs below 0.8 keep both. Null and repeated ids too."""
+    rng = np.random.default_rng(8)
+    texts = [t for k in range(160) for t in _near(rng, 0.805 + 0.145 * k / 159)] + [t for _ in range(40) for t in _near(rng, 0.7)]
+    sets = [set(nearcopies.shingle_set(t).tolist()) for t in texts]
+    similar = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(similar) >= 150 and not any(similar[160:])
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    kept = {r["text"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    left = [(a in kept) + (b in kept) for a, b in zip(texts[::2], texts[1::2])]
+    assert left == [1 if s else 2 for s in similar]
+
+
+def test_near_copies_in_long_lists(spark):
+    """A large group of near copies in lists beyond the limit, and its neighbours, as without the limit."""
+    rng = np.random.default_rng(9)
+    words = _near(rng, 0.9, 300)[0].split()
+    rows = [(i, " ".join(words[: i % 30 + 2] + [f"v{i}"] + words[i % 30 + 3 :])) for i in range(120)] + [(500 + i, _near(rng, 0.9)[0]) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in nearcopies.keep_one(docs, long_list=20).collect()} == {0, *range(500, 510)}
