@@ -55,3 +55,12 @@ def test_mail_report(spark):
     assert got["alias"] == (0, 1) and got["unit_price"] == (1, 1) and got["quantity"] == (0, 1) and got["critical"] == (2, 3) and got["tax"] == (0, 1) and got["no_prompt_injection"] == (1, 1)
     assert got["processing_success"] == (1, 2) and got["accepted_evidence"] == (2, 3) and got["no_missing_hallucination"] == (1, 1) and "domain" not in got
     assert {tuple(r) for r in evaluate.tag_counts(cases).collect()} == {("x", 2), ("y", 1)}
+
+
+def test_parser_matrix_reads_every_order(spark, sf_dir, monkeypatch):
+    from bidlake.plans import adapters, decisions
+
+    monkeypatch.setattr(decisions.evaluate, "parser_matrix", lambda rows, text, line: line)
+    want = adapters.base(spark, sf_dir)
+    got = decisions.parser_matrix(spark, sf_dir)
+    assert got.count() == want.count() and got.select("doc_id").distinct().count() == want.select("po_number").distinct().count()
