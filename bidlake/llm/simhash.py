@@ -1,12 +1,12 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of their 8 bytes, so they share at least 6
-positional bytes. The index lists fingerprints under sets of positional bytes: first under pairs of two-byte blocks
-(at least two of four blocks must be shared); the members of a list that is too long go under all sets of six bytes
-instead. For each pair that meets in a list the shared positional bytes are tallied, pairs with fewer than 6 go, and
-the rest are verified by Hamming distance. Where even a list of six bytes is too long, its members look up what differs
-from them in few bits of the two bytes left, so no list emits all its pairs. Equal fingerprints are one node from the
-start, so copies make no pairs.
+positional bytes. The index lists each fingerprint under 14 sets of four positional bytes, chosen so that any two
+bytes lie outside exactly 3 of the sets: fingerprints that differ in two bytes meet in 3 lists, in one byte in 7, in
+more bytes in at most one. So the lists in which a pair meets are tallied, pairs below 3 go, and the rest are verified
+by Hamming distance. The members of a list that is too long go under all sets of six bytes instead, where sharing one
+is enough. Where even such a list is too long, its members look up what differs from them in few bits of the two bytes
+left, so no list emits all its pairs. Equal fingerprints are one node from the start, so copies make no pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from bidlake.llm.common import fresh, numbered, one_of_each, small_batches, stag
 from bidlake.llm.graph import components
 
 SEED, BITS, BYTES = 42, 64, 8
-#: Two-byte blocks of which close fingerprints share at least two, and sets of six bytes of which they share one.
-BLOCKS = [(0, 1), (2, 3), (4, 5), (6, 7)]
-WIDE = [a + b for a, b in combinations(BLOCKS, 2)]
+#: The sets of four bytes: byte positions whose bits selected by ``a`` have an even, or an odd, number of ones.
+PLANES = [tuple(i for i in range(BYTES) if (a & i).bit_count() % 2 == odd) for a in range(1, BYTES) for odd in (0, 1)]
+#: Sets that two bytes lie outside of, which is how many lists close fingerprints meet in at least.
+LEAST_MET = 3
+#: Sets of six bytes, of which close fingerprints share one.
 NARROW = list(combinations(range(BYTES), 6))
 
 
@@ -75,23 +77,19 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * (BYTES - 1 - i)).bitwiseAND(F.lit(255))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    return reduce(Column.__add__, [(_byte(a, i) == _byte(b, i)).cast("int") for i in range(BYTES)])
-
-
 def _lists(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     """The inverted index: every fingerprint under each set of its positional bytes."""
     keys = [F.struct(F.lit(n).alias("at"), reduce(lambda k, i: k * 256 + _byte(F.col("fp"), i), s, F.lit(0).cast("long")).alias("bytes")) for n, s in enumerate(sets)]
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.at", "k.bytes")
 
 
-def _pairs(lists: DataFrame, max_bits: int) -> DataFrame:
+def _pairs(lists: DataFrame, max_bits: int, least_met: int) -> DataFrame:
+    """Pairs that meet in at least so many lists and differ in at most ``max_bits`` bits."""
     a, b = lists.alias("a"), lists.alias("b")
     same = (F.col("a.at") == F.col("b.at")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    met = a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    tallied = met.where(shared_bytes(F.col("a"), F.col("b")) >= BYTES - max_bits)
-    return tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+    met = a.join(b, same).groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("met"))
+    counted = met.where(F.col("met") >= least_met).select("a", "b")
+    return counted.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
 def _flipped(lists: DataFrame, fps: DataFrame, max_bits: int) -> DataFrame:
@@ -108,25 +106,29 @@ def _flipped(lists: DataFrame, fps: DataFrame, max_bits: int) -> DataFrame:
     return asked.join(fps.select(F.col("fp").alias("b")), "b").select("a", "b").distinct()
 
 
-def links(fps: DataFrame, max_bits: int = 2, long_list: int = 256) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 2, long_list: int = 128) -> DataFrame:
     """All pairs ``a < b`` of the distinct fingerprints ``fps(fp)`` that differ in at most ``max_bits`` (up to 2) bits.
 
     Lists of up to ``long_list`` members are paired at once, so the pairs are at most that many times the members;
     members of longer lists are listed again under six bytes, and in lists that are still longer each looks up its
-    neighbours by flipping bits of the two bytes left.
+    neighbours by flipping bits of the two bytes left. A pair of which a list is long is found there, all others meet
+    in as many short lists as the count asks for.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2: six shared bytes are guaranteed for these only")
-    short, longer = _by_length(staged(_lists(fps, WIDE), "lists"), long_list)
+    short, longer = _by_length(staged(_lists(fps, PLANES), "lists"), long_list)
+    found = _pairs(short, max_bits, LEAST_MET)
+    if longer.isEmpty():
+        return found
     narrow, dense = _by_length(staged(_lists(longer.select("fp").distinct(), NARROW), "narrow"), long_list)
-    return _pairs(short, max_bits).unionByName(_pairs(narrow, max_bits)).unionByName(_flipped(dense, fps, max_bits)).distinct()
+    return found.unionByName(_pairs(narrow, max_bits, 1)).unionByName(_flipped(dense, fps, max_bits)).distinct()
 
 
 def _by_length(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of lists of up to ``most`` members, and those of longer ones."""
-    longer = lists.groupBy("at", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    longer = staged(longer.select("at", "bytes"), "longer")
-    return lists.join(longer, ["at", "bytes"], "left_anti"), lists.join(longer, ["at", "bytes"], "left_semi")
+    """The rows of lists of two and up to ``most`` members, and those of longer ones."""
+    sizes = lists.groupBy("at", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    several = staged(lists.join(staged(sizes, "sizes"), ["at", "bytes"]), "several")
+    return several.where(F.col("n") <= most).drop("n"), several.where(F.col("n") > most).drop("n")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:

@@ -201,16 +201,43 @@ def test_vectors(spark):
     assert len(got) == len(rows) and vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def links_of(x, cosine=0.9):
+    """Links and components of the rows by brute force."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        low = np.array([min(label[i], label[n].min(initial=label[i])) for i, n in enumerate(near)])
+        if (low == label).all():
+            return near.sum(1), label
+        label = low
+
+
+@pytest.mark.parametrize("how", [{"leaf": 16, "sample": 200}, {"leaf": 16, "sample": 100, "hub_sample": 300}, {"leaf": 200, "sample": 300}, {}])
+def test_vectors_deep(spark, how):
+    """Planted near copies, a tight cluster, a loose one and single vectors, where trees are fitted again and again on
+    samples far smaller than the leaves: nearly all links of brute force are found, none below the cosine."""
+    rng = np.random.default_rng(5)
+    x = [np.repeat(rng.normal(size=(300, 64)), 4, axis=0) + rng.normal(size=(1200, 64)) * 0.24, rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.1, rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.3]
+    x = np.concatenate([*x, rng.normal(size=(600, 64))]).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vectors.near_duplicates(df, **how).toPandas().set_index("vec_id").sort_index()
+    want, label = links_of(x)
+    assert want.sum() > 200_000 and (got["n_links"].to_numpy() <= want).all()
+    assert got["n_links"].sum() >= 0.98 * want.sum() and got["n_links"][:1200].sum() >= 0.98 * want[:1200].sum()
+    assert (got["component_id"].to_numpy() == label).mean() >= 0.98 and (got["component_id"].to_numpy() >= label).all()
+    assert not how == {} or (got["n_links"].to_numpy() == want).all()
+
+
 def test_vectors_in_chunks(spark):
-    """A dense cluster beyond the largest leaf, and single vectors: links, counts and components as by brute force."""
+    """A dense cluster beyond the largest chunk, and single vectors: links, counts and components as by brute force."""
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 0.05, (300, 16)) + np.eye(16)[0], rng.normal(size=(300, 16))]).astype("f4")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = vectors.near_duplicates(df, leaf=20).toPandas().set_index("vec_id")
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    want = near.sum(1) - 1
-    assert (got.loc[range(600), "n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.95 * want.sum()
+    got = vectors.near_duplicates(df, leaf=20).toPandas().set_index("vec_id").sort_index()
+    want, _ = links_of(x)
+    assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.98 * want.sum()
     assert got["component_id"].nunique() <= 310
 
 

@@ -14,6 +14,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
+from bidlake.llm import ann
 from bidlake.llm import queries as q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,3 +224,19 @@ def test_nearest(spark, sf):
         assert list(zip(own["score"], own["vec_id"])) == sorted(zip(own["score"], own["vec_id"]))
         found, wanted = found + len({v for _, v in best} & set(own["vec_id"])), wanted + 10
     assert found / wanted >= 0.9
+
+
+def test_reach_is_measured(spark):
+    """Single vectors without any order, clusters, and another width: the measured reach keeps recall up on each."""
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=(4000, 64)), np.repeat(rng.normal(size=(80, 48)), 50, axis=0) + 0.2 * rng.normal(size=(4000, 48)), rng.normal(size=(3000, 200))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(df, F.col("vec_id") % 40 == 0, cell=500).toPandas()
+        found = 0
+        for q, own in got.groupby("query_id"):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+            own = own.sort_values("rank")
+            assert own["score"].tolist() == d[own["vec_id"]].tolist() and len(own) == 10
+            found += len(set(best) & set(own["vec_id"]))
+        assert found >= 0.9 * 10 * (len(x) // 40)
