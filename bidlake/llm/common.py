@@ -13,19 +13,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where it is unset, a temporary one in
+    local mode, which is that of tests. On a cluster a machine's own folder would lose what executors write."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back: lineage ends here and survives lost executors."""
+def staged(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it back: lineage ends here and survives lost executors.
+    Columns ``partitions`` become folders, so that reading one of their values reads its files only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bidlake-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

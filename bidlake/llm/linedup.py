@@ -1,24 +1,29 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is hashed to 128 bits. Documents come in batches; each batch is merge-anti-joined with the runs of
-hashes that are already settled, and the counts of its other lines are added as a run of its own, sorted by hash.
-Once a level holds ``fan`` runs they are compacted into one run of the next level, and hashes that have reached the
-number of documents sought move to the settled runs, so later batches need not carry them.
+hashes that are already settled, and the counts of its other lines are added as a run of its own. A run is a table
+bucketed and sorted by hash into as many buckets as Spark shuffles to, so runs are joined where they lie: neither a
+join with a run nor the compaction of runs moves or deals them again. Once a level holds ``fan`` runs they are merged
+into one run of the next level, and hashes that have reached the number of documents sought move to the settled runs,
+so later batches need not carry them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, once, small_batches, staged
+from bidlake.llm.common import fresh, once, shared_dir, small_batches, staged
 
 SEEDS = (42, 7)
+#: Documents of a batch.
+BATCH_ROWS = 5_000_000
 _BLANK = " \t\n\v\f\r"
 
 
@@ -32,46 +37,64 @@ def hash_of(key: str) -> bytes:
     return b"".join(xxhash.xxh64_digest(raw, seed) for seed in SEEDS)
 
 
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one: a merge join of tables that lie dealt and sorted by ``h``."""
+    both = a.join(b.withColumnRenamed("n", "more").hint("merge"), "h", "full")
+    return both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+
+
 class SortedRuns:
-    """Levels of runs ``(h, n)``, each a table sorted by ``h`` within hash partitions: ``n`` sums over the runs."""
+    """Levels of runs ``(h, n)``, each a table bucketed and sorted by ``h``: ``n`` sums over the runs."""
 
-    def __init__(self, fan: int = 4):
-        self.fan, self.levels = fan, [[]]
+    def __init__(self, spark: SparkSession, fan: int = 4):
+        self.spark, self.fan, self.levels, self.names = spark, fan, [[]], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @property
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of ``batch`` whose ``h`` is in no run: a merge anti-join with each."""
+        """Rows of ``batch`` whose ``h`` is in no run: a merge anti-join with each. It is written as an outer join, since Spark
+        moves anti-joins before the counting of a batch, where a frequent line is one task's."""
         for run in self.runs:
-            batch = batch.join(run.hint("merge"), "h", "left_anti")
+            met = run.select("h", F.lit(True).alias("met")).hint("merge")
+            batch = batch.join(met, "h", "left").where("met is null").drop("met")
         return batch
 
     def add(self, batch: DataFrame) -> None:
-        """Add ``batch(h, n)`` as a run, and compact full levels."""
-        self.levels[0].append(self._run(batch))
+        """Add ``batch(h, n)`` as a run, and merge full levels."""
+        self.levels[0].append(self._run(batch.groupBy("h").agg(F.sum("n").alias("n"))))
         level = 0
         while len(self.levels[level]) >= self.fan:
             if len(self.levels) == level + 1:
                 self.levels.append([])
-            self.levels[level + 1].append(self._run(self._union(self.levels[level])))
-            self.levels[level] = []
+            full, self.levels[level] = self.levels[level], []
+            out = full[0]
+            for run in full[1:]:
+                out = self._run(merged(out, run))
+            self.levels[level + 1].append(out)
             level += 1
 
     def total(self) -> DataFrame | None:
-        return self._union(self.runs).groupBy("h").agg(F.sum("n").alias("n")) if self.runs else None
-
-    @staticmethod
-    def _union(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
+        """All runs as one. Runs are merged two at a time, since only what is written as a run lies dealt and sorted."""
+        out = None
+        for run in self.runs:
+            out = run if out is None else self._run(merged(out, run))
         return out
 
-    @staticmethod
-    def _run(rows: DataFrame) -> DataFrame:
-        return staged(rows.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "run")
+    def close(self) -> None:
+        """Forget the tables' names; their files stay in the shared folder for those who still read them."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        name = f"bidlake_run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}"
+        # rows are dealt by h to as many partitions already, so a bucket is one task's and one file
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
 
 
 def first_seen(lines: DataFrame, seen: SortedRuns) -> DataFrame:
@@ -100,19 +123,21 @@ def line_hashes(docs: DataFrame, batches: int) -> DataFrame:
     return dealt.mapInArrow(run, "batch int, h binary")
 
 
-def frequent(docs: DataFrame, min_docs: int, batches: int = 4, fan: int = 2) -> DataFrame:
-    """Hashes ``h`` of the keys that at least ``min_docs`` rows of ``docs`` hold, with that number ``n``, at least."""
-    lines = staged(line_hashes(docs, batches), "lines")
-    counts, settled = SortedRuns(fan), SortedRuns(fan)
+def frequent(docs: DataFrame, min_docs: int, batches: int | None = None, fan: int = 2) -> DataFrame:
+    """Hashes ``h`` of the keys that at least ``min_docs`` rows of ``docs`` hold, with that number ``n``, at least. The number of
+    batches follows from that of documents unless given: one for each ``BATCH_ROWS``, from 4 to 64."""
+    spark = docs.sparkSession
+    batches = batches or max(4, min(64, docs.count() // BATCH_ROWS))
+    lines = staged(line_hashes(docs, batches), "lines", "batch")
+    counts, settled = SortedRuns(spark, fan), SortedRuns(spark, fan)
     for i in range(batches):
-        batch = lines.where(F.col("batch") == i).groupBy("h").agg(F.count("*").alias("n"))
-        if settled.runs:  # written first: else Spark joins the lines before it counts them, and a frequent one is one task's
-            batch = staged(batch, "batch")
-        counts.add(settled.unseen(batch))
-        if not counts.levels[0] and i + 1 < batches:
-            done = settled.unseen(counts.total().where(F.col("n") >= min_docs))
-            settled.add(done)
-    return staged(counts.total().where(F.col("n") >= min_docs), "frequent")
+        counts.add(settled.unseen(lines.where(F.col("batch") == i).groupBy("h").agg(F.count("*").alias("n"))))
+        if i and len(counts.runs) == 1 and i + 1 < batches:  # all is merged into one run
+            settled.add(settled.unseen(counts.runs[0].where(F.col("n") >= min_docs)))
+    out = staged(counts.total().where(F.col("n") >= min_docs), "frequent")
+    counts.close()
+    settled.close()
+    return out
 
 
 def _strip(text: str | None, dropped: frozenset | set) -> tuple[str, int, int]:
@@ -128,7 +153,7 @@ def _result(rows: list[tuple[str, int, int]]) -> pd.DataFrame:
 _KIND = "text string, n_lines long, n_dropped long"
 
 
-def drop_frequent(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan: int = 2, max_sent: int = 200_000) -> DataFrame:
+def drop_frequent(docs: DataFrame, min_docs: int = 10, batches: int | None = None, fan: int = 2, max_sent: int = 200_000) -> DataFrame:
     """``docs(doc_id, text, ...)`` without the lines whose key at least ``min_docs`` rows hold, and ``n_lines`` (before
     that) and ``n_dropped``.
 

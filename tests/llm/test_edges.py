@@ -263,7 +263,7 @@ def test_chat(spark):
     assert chat.parse(got[2]["formatted"]) == [("", "x")] and chat.parse(got[3]["formatted"]) == [("as:sis\ntant", LONG)]
     assert chat.parse(got[None]["formatted"]) == [("assistant", "y:\n</turn>\n### User:")]
     for r in got.values():
-        assert len(r["token_ids"]) == len(r["loss_mask"]) and {p[0] for p in r["loss_parts"]} == {i for i, m in enumerate(r["loss_mask"]) if m}
+        assert len(r["token_ids"]) == len(r["loss_mask"]) and {t for p in r["loss_parts"] for t in range(p[1], p[2])} == {i for i, m in enumerate(r["loss_mask"]) if m}
     read = {r["conv_id"]: r for r in chat.digests(out).collect()}
     assert read[1]["loss_chars"] == 3 and read[2]["loss_chars"] == 0 and read[None]["loss_chars"] == len("y:\n</turn>\n### User:")
     assert chat.format_chats(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
@@ -280,8 +280,17 @@ def test_chat_round_trip():
         turns = [(rng.choice(["user", "assistant", "a:b", "", "\\"]), "".join(rng.choices(parts, k=rng.randint(0, 8)))) for _ in range(rng.randint(0, 5))]
         formatted, spans = chat.render(turns)
         assert chat.parse(formatted) == turns
-        _, hits = chat.align(np.array(encoder.encode(formatted, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2), spans)
-        assert chat.masked_texts(formatted, hits) == [t for r, t in turns if r == "assistant" and t]
+        offsets = np.array(encoder.encode(formatted, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        mask, runs = chat.align(offsets[:, 0], offsets[:, 1], spans)
+        assert chat.masked_texts(formatted, runs.tolist()) == [t for r, t in turns if r == "assistant" and t]
+        assert mask.tolist() == [any(max(s, a) < min(e, b) for a, b in spans) for s, e in offsets.tolist()]
+
+
+def test_chat_leaves_out_what_tokens_leave_out():
+    starts, ends = np.array([0, 2, 6, 7]), np.array([2, 4, 7, 9])
+    mask, runs = chat.align(starts, ends, [(1, 8)])
+    assert mask.all() and runs.tolist() == [[0, 0, 2, 1, 4], [0, 2, 4, 6, 8]]
+    assert chat.masked_texts("abcdefghi", runs.tolist()) == ["bcdgh"]
 
 
 def test_lines(docs, nothing, spark):
@@ -301,8 +310,21 @@ def test_lines(docs, nothing, spark):
 
 
 def test_runs_keep_levels(spark):
-    seen = linedup.SortedRuns(fan=2)
+    seen = linedup.SortedRuns(spark, fan=2)
     batch = lambda *hs: spark.createDataFrame([(bytes([h]),) for h in hs], "h binary")
     out = [sorted(bytes(r["h"])[0] for r in linedup.first_seen(batch(*hs), seen).collect()) for hs in ((1, 2, 2), (2, 3), (3, 4), (1, 5), (6,))]
     assert out == [[1, 2, 2], [3], [4], [5], [6]]
     assert [len(level) for level in seen.levels] == [1, 0, 1] and seen.total().count() == 6
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    """Neither the anti-join of a batch with the runs nor their compaction shuffles a run."""
+    runs = linedup.SortedRuns(spark, fan=4)
+    for lo in (0, 500, 900):
+        runs.add(spark.range(lo, lo + 1000).select(F.sha1(F.col("id").cast("string").cast("binary")).cast("binary").alias("h"), F.lit(1).cast("long").alias("n")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(runs.runs) == 3 and plan(linedup.merged(*runs.runs[:2])).count("Exchange") == 0
+    lines = spark.range(2000).select(F.sha1(F.col("id").cast("string").cast("binary")).cast("binary").alias("h"))
+    batch = runs.unseen(lines.groupBy("h").agg(F.count("*").alias("n")))
+    assert plan(batch).count("Exchange") == 1 and plan(batch).count("SortMergeJoin") == 3 and batch.count() == 100
+    assert runs.total().agg(F.sum("n")).first()[0] == 3000
