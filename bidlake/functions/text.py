@@ -100,9 +100,12 @@ def safe_filename(s: Column) -> Column:
 
 
 def column_name(i: Column) -> Column:
-    """0 is A, 25 is Z, 26 is AA (up to ZZ)."""
-    letter = lambda n: F.char(n + 65)
-    return F.when(i < 26, letter(i)).otherwise(F.concat(letter(F.floor(i / 26) - 1), letter(i % 26)))
+    """0 is A, 25 is Z, 26 is AA, 702 is AAA, as far as whole numbers go."""
+    digits = F.sequence(F.lit(1), F.lit(7))
+    # place p is filled once numbers of fewer places are used up: 26 + 26^2 + ... + 26^(p - 1) names
+    fewer = lambda p: (F.pow(F.lit(26), p) - 26) / 25
+    letter = lambda p: F.char(F.pmod(F.floor((i - fewer(p)) / F.pow(F.lit(26), p - 1)), F.lit(26)).cast("int") + 65)
+    return F.reverse(F.array_join(F.transform(F.filter(digits, lambda p: i >= fewer(p)), letter), ""))
 
 
 def content_hash(*parts: Column) -> Column:
@@ -129,38 +132,48 @@ def html_rows(h: Column) -> Column:
     return F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
 
 
+# Lines that start quoted history, lines that start a signature, and the words of each kind of message, the
+# first kind that fits.
+HISTORY = (r"^\s*On .{3,200}wrote:\s*$", r"^\s*-{2,}\s*Original Message\s*-{2,}\s*$", r"^\s*From:\s+.+@.+$", r"^\s*_{5,}\s*$", r"^\s*>")
+SIGNATURE = r"^\s*(?:--\s*|regards[,!]?|best(?: regards)?[,!]?|sincerely[,!]?|thanks[,!]?)\s*$"
+MESSAGE_KINDS = (
+    ("QUOTE_REVISION", r"\b(revised|updated|correction|supersedes|disregard previous|final quotation)\b"),
+    ("NEGOTIATION", r"\b(can you|could you|best we can|reduce|lower price|negotia)"),
+    ("QUOTE", r"\b(quote|quotation|unit price|pricing)\b"),
+    ("RFQ_RESPONSE", r"\b(request for quote|rfq response)\b"),
+    ("ORDER_CONFIRMATION", r"\b(order confirmation|confirmed order)\b"),
+)
+COMPANY_WORDS = (
+    "supply", "supplies", "industrial", "industries", "manufacturing", "component", "components", "controls", "technical", "systems", "automation", "engineering", "company",
+    "co", "corp", "inc", "incorporated", "llc", "ltd", "gmbh",
+)
+
+
 def split_history(body: Column) -> Column:
     """``struct(body, history)``: a message before and from the first line that starts quoted history."""
-    return _cut(body, r"(?i)^\s*(>|on .{1,200} wrote:|-{2,}\s*(original|forwarded) message|from:\s.+@)", "body", "history")
+    return _cut(F.regexp_replace(_text(body), "\r\n?", "\n"), f"(?i){'|'.join(HISTORY)}", 0, "body", "history")
 
 
 def split_signature(body: Column) -> Column:
-    """``struct(body, signature)``: before and from the first line that starts a signature."""
-    return _cut(body, r"(?i)^\s*(--\s*$|(best |kind |warm )?regards\b|thanks,?\s*$|sincerely\b)", "body", "signature")
+    """``struct(body, signature)``: before and from the first line, but the very first, that starts a signature."""
+    return _cut(body, f"(?i){SIGNATURE}", 1, "body", "signature")
 
 
-def _cut(text: Column, start: str, head: str, tail: str) -> Column:
+def _cut(text: Column, start: str, least: int, head: str, tail: str) -> Column:
+    """Before and from the first line that matches, not counting the first ``least`` ones."""
     lines = F.split(_text(text), "\n")
-    first = F.array_position(F.transform(lines, lambda x: x.rlike(start)), True).cast("int")
-    before = F.when(first == 0, lines).otherwise(F.slice(lines, 1, F.greatest(first - 1, F.lit(0))))
-    after = F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)))
-    join = lambda x: F.trim(F.array_join(x, "\n"))
+    at = F.array_position(F.transform(lines, lambda x, i: (i >= least) & x.rlike(start)), True).cast("int")
+    before = F.when(at == 0, lines).otherwise(F.slice(lines, 1, F.greatest(at - 1, F.lit(0))))
+    after = F.when(at == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)))
+    join = lambda x: F.regexp_replace(F.array_join(x, "\n"), r"^\s+|\s+$", "")
     return F.struct(join(before).alias(head), join(after).alias(tail))
 
 
 def classify_email(subject: Column, body: Column) -> Column:
-    """The first kind whose words the subject or body has."""
-    text = F.lower(F.concat_ws("\n", subject, body))
-    kinds = (
-        ("QUOTE_REVISION", r"\b(revised|revision|updated)\b.{0,40}\b(quote|quotation|offer|price|pricing)"),
-        ("NEGOTIATION", r"\b(counter.?offer|negotiat\w*|best price|discount request)"),
-        ("QUOTE", r"\b(quote|quotation|our offer|unit price)\b"),
-        ("RFQ_RESPONSE", r"\b(rfq|request for quote)"),
-        ("ORDER_CONFIRMATION", r"\b(order confirmation|purchase order|po confirmed)"),
-        ("INFORMATIONAL", r"\b(newsletter|notice|holiday|information)"),
-    )
-    out = F.lit("UNKNOWN")
-    for kind, words in reversed(kinds):
+    """The first kind whose words the subject or body has; without any, informational if there is a body."""
+    text = F.lower(F.concat(_text(subject), F.lit("\n"), _text(body)))
+    out = F.when(_text(body).rlike(r"\S"), "INFORMATIONAL").otherwise("UNKNOWN")
+    for kind, words in reversed(MESSAGE_KINDS):
         out = F.when(text.rlike(words), kind).otherwise(out)
     return out
 
@@ -168,7 +181,7 @@ def classify_email(subject: Column, body: Column) -> Column:
 def identity_name(sender: Column, signature: Column, domain: Column) -> Column:
     """The name of a sender's company: the last signature line with a company word (no address or phone number), else
     the sender if it has one, else the stem of an own domain in title case, else the sender."""
-    word = r"(?i)\b(supply|supplies|industrial|industries|manufacturing|components?|controls|technical|systems|automation|engineering|company|co|corp|inc|incorporated|llc|ltd|gmbh)\b"
+    word = rf"(?i)\b({'|'.join(COMPANY_WORDS)})\b"
     lines = F.transform(F.split(_text(signature), "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" ,|-")))
     good = F.filter(lines, lambda x: F.length(x).between(2, 200) & x.rlike(word) & ~F.contains(x, F.lit("@")) & ~x.rlike(r"\+?\d[\d ()-]{6}"))
     stem = F.initcap(F.replace(F.substring_index(domain, ".", 1), F.lit("-"), F.lit(" ")))

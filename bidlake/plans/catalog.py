@@ -32,7 +32,7 @@ def sender_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = a.base(spark, sf_dir).where("line_no <= 5")
+    b = a.base(spark, sf_dir)
     n, i = F.col("line_no"), F.col("item_id")
     sku = F.when(n == 1, F.concat(F.lit("p "), i)).when(n == 3, F.concat(F.lit("M-"), i)).when(n == 4, F.concat(F.lit("ALT"), i)).otherwise(F.concat(F.lit("?"), i))
     lines = b.select(ORG, "purchase_id", "supplier_id", sku.alias("sku"), F.when(n == 2, F.concat(F.lit("brand"), i % 25 + 1, F.lit("-"), i)).alias("mpn"))
@@ -237,7 +237,7 @@ SQL = {
             """i AS (SELECT p_partkey AS id, 'P-' || p_partkey AS sku, replace(p_brand, '#', '') || '/' || p_partkey AS mpn,
               'Alt-' || (p_partkey // 2 * 2 + CASE WHEN p_partkey % 10 = 1 THEN 0 ELSE p_partkey % 2 END) AS alias FROM part),
 l AS (SELECT purchase_id AS left_id, supplier_id, CASE line_no WHEN 1 THEN 'p ' || item_id WHEN 3 THEN 'M-' || item_id WHEN 4 THEN 'ALT' || item_id ELSE '?' || item_id END AS sku,
-        CASE WHEN line_no = 2 THEN 'brand' || (item_id % 25 + 1) || '-' || item_id END AS mpn FROM v_base WHERE line_no <= 5),
+        CASE WHEN line_no = 2 THEN 'brand' || (item_id % 25 + 1) || '-' || item_id END AS mpn FROM v_base),
 mapped AS (SELECT DISTINCT supplier_id, 'M-' || item_id AS sku, item_id FROM v_base WHERE line_no = 3 AND supplier_id % 2 = 0)""",
             [
                 ("SKU", f"SELECT left_id, id AS right_id FROM l JOIN i ON {_KEY.format('l.sku')} = {_KEY.format('i.sku')} AND {_KEY.format('l.sku')} <> ''", False),
