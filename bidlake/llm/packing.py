@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import small_batches, staged
+from bidlake.llm.common import fresh, small_batches, staged
 
-#: Distinct words of which a worker keeps the ids, and the word that separates words in one call of the tokenizer.
-KEPT_WORDS, MARK = 250_000, "\x00"
+#: Distinct words of which a worker keeps the ids, the most characters of such a word, and the word that separates words in
+#: one call of the tokenizer.
+KEPT_WORDS, KEPT_CHARS, MARK = 250_000, 40, "\x00"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -69,13 +70,14 @@ class WordTokenizer:
         # special tokens are matched as written, before the normaliser
         split = [_words(x.lower() if _latin(x) and "<|" not in x else x) for x in texts]
         known = self.known
-        fresh = self.encode(list({w for ws in split for w in ws if w not in known}))
-        if len(known) + len(fresh) <= KEPT_WORDS:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) or fresh.get(w, b"")
-        return [b"".join(map(get, ws)) for ws in split]
+        new = self.encode(list({w for ws in split for w in ws if w not in known}))
+        room = KEPT_WORDS - len(known)
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for i, w in enumerate(new):  # a worker's memory follows from KEPT_WORDS and KEPT_CHARS, whatever the words
+            if i >= room or len(w) > KEPT_CHARS:
+                del known[w]
+        return out
 
 
 def _latin(text: str) -> bool:
@@ -204,39 +206,50 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
     return runs, bins
 
 
-def pack(cut: DataFrame, capacity: int = 2048, parts: int = 256) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, part_rows: int = 500_000) -> DataFrame:
     """Add ``sequence_id, offset`` to the rows of ``cut(doc_id, piece, length, ...)``, lengths 1 to ``capacity``.
 
-    A piece's rank among those of its length is the number of such pieces in earlier parts (by a hash of the id) and
-    its place in its own part, so that no task sorts more than a part of the rows of a length. Rows that are equal in
-    all columns get different places. No rows: no rows.
+    A piece as long as a sequence is one, numbered where it lies. The rank of any other among the pieces of its length is
+    the number of such pieces in earlier parts (by a hash of the id) and its place in its own part; there are so many parts
+    that no task sorts more than about ``part_rows`` rows of a length. Rows that are equal in all columns get different
+    places. No rows: no rows. Columns of ``cut`` named like the new ones stay, which then get underscores in front.
     """
-    cut = staged(cut.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))), "pieces")
-    counts = staged(cut.groupBy("length", "__part").agg(F.count("*").alias("n")), "counts")
-    runs, _ = best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    sequence, at_offset, part, own_rank, before_rank, rank, at = fresh(cut, "sequence_id", "offset", "part", "own", "before", "rank", "at")
+    cut = staged(cut, "pieces")
+    sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    sizes.pop(capacity, None)
+    runs, bins = best_fit(sizes, capacity)
+    full = cut.where(F.col("length") == capacity)
+    full = full.withColumn(sequence, F.monotonically_increasing_id() + bins).withColumn(at_offset, F.lit(0).cast("long"))
+    if not sizes:
+        return full
+    parts = -(-max(sizes.values()) // part_rows)
+    rest = cut.where(F.col("length") < capacity).withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    counts = staged(rest.groupBy("length", part).agg(F.count("*").alias("n")), "counts")
     by_length: dict[int, tuple[list[int], list[tuple[int, int, int, int]]]] = {}
-    for size, rank, *where in runs:
+    for size, first, *where in runs:
         ranks, places = by_length.setdefault(size, ([], []))
-        ranks.append(rank)
-        places.append((rank, *where))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")
-    own = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "start")) - 1
-    ranked = cut.withColumn("__own", own).join(counts.withColumn("__before", before).drop("n"), ["length", "__part"])
-    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__own"))
+        ranks.append(first)
+        places.append((first, *where))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(part)) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("length", part).orderBy("doc_id", "piece", "start")) - 1
+    ranked = rest.withColumn(own_rank, own).join(counts.withColumn(before_rank, before).drop("n"), ["length", part])
+    ranked = ranked.withColumn(rank, F.col(before_rank) + F.col(own_rank))
     runs_of = cut.sparkSession.sparkContext.broadcast(by_length)  # bounded by the capacity, not by the corpus
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         out = np.empty((len(length), 2), dtype=np.int64)
-        for size, at in pd.Series(np.arange(len(length))).groupby(length.to_numpy()):
+        for size, rows in pd.Series(np.arange(len(length))).groupby(length.to_numpy()):
             ranks, places = runs_of.value[size]
-            mine = rank.to_numpy()[at]
+            mine = rank.to_numpy()[rows]
             first, bin0, each, offset = np.array(places, dtype=np.int64)[np.searchsorted(ranks, mine, side="right") - 1].T
-            out[at] = np.stack([bin0 + (mine - first) // each, offset + (mine - first) % each * size], axis=1)
+            out[rows] = np.stack([bin0 + (mine - first) // each, offset + (mine - first) % each * size], axis=1)
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    kept = [c for c in cut.columns if c != "__part"]
-    return ranked.withColumn("__at", place("length", "__rank")).select(*kept, "__at.sequence_id", "__at.offset")
+    kept = [F.col(f"`{c}`") for c in cut.columns]
+    placed = ranked.withColumn(at, place("length", rank)).select(*kept, F.col(f"{at}.sequence_id").alias(sequence), F.col(f"{at}.offset").alias(at_offset))
+    return placed.unionByName(full)
 
 
 def run_of(runs: list[tuple[int, int, int, int, int]], size: int, rank: int, capacity: int) -> tuple[int, int]:

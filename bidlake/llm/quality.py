@@ -121,7 +121,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **how: float) -> FactorisationMachine:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``, at most ``max_rows`` labelled documents: those
     with the least hashes of their ids. Rows held out, null ids and null labels are not used; of several labels of a
-    document the mean counts, 1 from 0.5 on; of several texts one."""
+    document the mean counts, 1 from 0.5 on; of several texts the least."""
     y = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     some = y.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
@@ -131,9 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **how: float
             rows = [features(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "ids": [r[0] for r in rows], "x": [r[1] for r in rows]})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")  # max_rows rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # max_rows ids; a text each before any leaves the executors
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     got = sample.mapInPandas(extract, "doc_id string, y int, ids array<int>, x array<float>").toPandas()
-    got = got.drop_duplicates("doc_id").assign(h=lambda d: [zlib.crc32(x.encode()) for x in d["doc_id"]]).sort_values(["h", "doc_id"])
+    got = got.assign(h=lambda d: [zlib.crc32(x.encode()) for x in d["doc_id"]]).sort_values(["h", "doc_id"])
     rows = [(np.asarray(i, np.int32), np.asarray(x, np.float32)) for i, x in zip(got["ids"], got["x"], strict=True)]
     return fit(rows, got["y"].to_numpy(np.float64), **how)
 

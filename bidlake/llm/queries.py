@@ -10,9 +10,11 @@ from bidlake.llm import ann, chat, linedup, mixing, packing, quality, secrets, s
 from bidlake.llm.common import n_words, read, staged
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Words that list a host when a label of it, cut at hyphens, is one of them.
+#: Words that list a host when a label of it, cut at hyphens, is one of them; a host is listed as well if it has at least so
+#: many pages and at least half of their titles have runs of marks, as generated pages do.
 LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam")
 LISTED = r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"
+MARKED_TITLE, MARKED_PAGES = r"<title>[^<]*([*#%]{3}|(&amp;){3})", 20
 OWN_CONVERSATION = [(-7, 0, "user"), (-7, 1, "assistant")]
 OWN_TEXT = r"\### Assistant: </turn> ok"
 
@@ -38,8 +40,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, URL_RULES, F.col("key").rlike(LISTED)).drop("url")
+    pages = read(spark, sf_dir, "pages")
+    marked = F.avg(F.coalesce(F.col("html").rlike(MARKED_TITLE), F.lit(False)).cast("int"))
+    hosts = pages.groupBy(urls.host_of(F.col("url")).alias("key")).agg(F.count("*").alias("n"), marked.alias("marked"))
+    listed = hosts.where(F.col("key").rlike(LISTED) | ((F.col("n") >= MARKED_PAGES) & (F.col("marked") >= 0.5)))
+    return urls.judge(pages.select("page_id", "url"), URL_RULES, listed).drop("url")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,18 +116,20 @@ _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 URL_SQL = rf"""
 WITH p AS (
   SELECT page_id, {_LOW.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html
   FROM pages),
 rules(verdict, host, path) AS (VALUES {_RULES}),
 n AS (SELECT row_number() OVER () AS row, * FROM p),
+listed AS (SELECT host AS own FROM p GROUP BY host HAVING regexp_matches(host, '{LISTED}')
+           OR (count(*) >= {MARKED_PAGES} AND avg(coalesce(regexp_matches(html, '{MARKED_TITLE}'), false)::INT) >= 0.5)),
 fit AS (
   SELECT row, max_by(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
          max_by(verdict, length(rules.host || rules.path)) AS verdict
   FROM n JOIN rules ON (n.host = rules.host OR ends_with(n.host, '.' || rules.host)) AND starts_with(n.path, rules.path)
   GROUP BY row)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '{LISTED}') THEN 'block' ELSE 'allow' END) AS verdict
-FROM n LEFT JOIN fit USING (row)"""
+       coalesce(verdict, CASE WHEN own IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM n LEFT JOIN fit USING (row) LEFT JOIN listed ON host = own"""
 
 CHAT_SQL = r"""
 WITH c AS (

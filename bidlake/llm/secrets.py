@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Spans are found in every whole text by fixed patterns and, beside those, as long mixed tokens that look like keys.
-Each candidate's hash is counted over the corpus by distinct repositories and owners: a value that many owners hold
-is a widely copied example, one that stays with few is live-looking. Base spans always stay and are marked; the mixed
-tokens become spans only where they are live-looking.
+Each candidate's hash is counted over the corpus by distinct repositories and owners. A value that several owners hold,
+or that one owner has copied over many repositories, is a widely copied example; one that stays with few is
+live-looking. Every span gets that verdict. Base spans always stay; mixed tokens that are examples are dropped.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import fresh, small_batches, staged
+from bidlake.llm.common import fresh, numbered, once, small_batches
 
 #: Fixed patterns, in the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -60,21 +59,22 @@ def mixed_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[
     return out
 
 
-def _scan_rows(origin: DataFrame) -> DataFrame:
-    """Of ``origin(k, repo, owner, text)`` the rows that have candidates, with these: ``start, kind, end, h``."""
+#: What a text with candidates holds at least; a cheap test in the JVM, so that all other rows pass through untouched.
+MAY_HOLD = r"(?i)passw|secret|token|api|[A-Za-z0-9+/_=-]{20}"
+_SPANS = "array<struct<start:long,kind:int,end:long,h:string>>"
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, repo, owner, text in b.itertuples(index=False):
-                if text:
-                    base = base_spans(text)
-                    found = sorted(base + mixed_spans(text, base))
-                    if found:
-                        rows.append((k, repo, owner, [{"start": s, "kind": n, "end": e, "h": hashlib.sha256(v.encode()).hexdigest()} for s, n, e, v in found]))
-            yield pd.DataFrame(rows, columns=["k", "repo", "owner", "spans"])
 
-    return origin.mapInPandas(find, "k string, repo string, owner string, spans array<struct<start:long,kind:int,end:long,h:string>>")
+def _candidates(text: Column) -> Column:
+    @F.pandas_udf(_SPANS)
+    def find(text: pd.Series) -> pd.Series:
+        rows = []
+        for t in text:
+            base = base_spans(t)
+            found = sorted(base + mixed_spans(t, base))
+            rows.append([{"start": s, "kind": n, "end": e, "h": hashlib.sha256(v.encode()).hexdigest()} for s, n, e, v in found])
+        return pd.Series(rows, dtype=object)
+
+    return once(find)(text)
 
 
 def _joined(spans: Column) -> Column:
@@ -82,33 +82,38 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 1, example_owners: int = 3) -> DataFrame:
-    """Add ``n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans`` to ``docs(text, ...)``.
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = 3, example_repos: int = 20) -> DataFrame:
+    """Add ``n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans, verdicts`` to ``docs(text, ...)``.
 
     ``repository`` and ``owner`` name the columns that say where a text is from; null is one repository and one owner.
-    A value in at most ``max_owners`` owners is live-looking, in ``example_owners`` or more a widely copied example.
-    Null text is empty and has no spans (their list is the empty text); rows of one text get the same spans, since
-    they are joined by the text's hash; an empty table stays empty. Columns with such names stay; the new ones then
-    get underscores in front. Only hashes of candidates leave the scan.
+    A value is an example if ``example_owners`` or more owners hold it or ``example_repos`` or more repositories do, else
+    live-looking; ``verdicts`` says which for each of ``spans``, in order. Null text is empty and has no spans (their list is
+    the empty text); rows of one text get the same spans; an empty table stays empty. Columns with such names stay; the new
+    ones then get underscores in front.
+
+    Rows that cannot hold a candidate are neither written nor shuffled; the others are written once with their candidates
+    and a row number, and only numbers, positions and hashes are joined.
     """
     small_batches(docs.sparkSession)
-    counts = [f"n_{k}" for k in KINDS[:3]]
-    names = fresh(docs, *counts, "n_live", "n_example", "base_sha256", "spans", "text_key", "found")
-    *new, key, found = names
-    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    origin = keyed.select(F.col(key).alias("k"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), "text")
-    hits = staged(_scan_rows(origin), "hits")
-    one = hits.select("repo", "owner", F.explode("spans.h").alias("h")).distinct()
+    names = [*(f"n_{k}" for k in KINDS[:3]), "n_live", "n_example", "base_sha256", "spans", "verdicts"]
+    *new, found, row = fresh(docs, *names, "found", "row_number")
+    may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    some = numbered(docs.where(may).withColumn(found, _candidates(F.col("text"))), row)
+    where = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((repository, "repo"), (owner, "owner"))]
+    hits = some.select(F.col(row).alias("k"), *where, F.explode(found).alias("s"))
+    one = hits.select("repo", "owner", "s.h").distinct()
     spread = one.groupBy("h", "owner").agg(F.count("*").alias("r")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("r").alias("repos"))
-    texts = hits.groupBy("k").agg(F.first("spans").alias("spans"))
-    marked = texts.select("k", F.explode("spans").alias("s")).join(spread, F.col("s.h") == F.col("h"))
-    marked = marked.where((F.col("s.kind") < 3) | (F.col("owners") <= max_owners)).select("k", F.struct("s.start", "s.kind", "s.end", "owners", "repos").alias("s"))
+    example = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    marked = hits.join(spread.select(F.col("h"), example.alias("example")), F.col("s.h") == F.col("h"))
+    marked = marked.where((F.col("s.kind") < 3) | ~F.col("example")).select("k", F.struct("s.start", "s.kind", "s.end", "example").alias("s"))
     per = marked.groupBy("k").agg(F.array_sort(F.collect_list("s")).alias(found))
-    out = keyed.join(per.withColumnRenamed("k", key), key, "left").withColumn(found, F.coalesce(found, F.array().cast(per.schema[found].dataType)))
-    spans = F.col(found)
+    kind = per.schema[found].dataType
+    judged = some.drop(found).join(per.withColumnRenamed("k", row), row, "left").drop(row)
+    out = judged.unionByName(docs.where(~may).withColumn(found, F.lit(None).cast(kind)))
+    spans = F.coalesce(F.col(found), F.array().cast(kind))
     base = F.filter(spans, lambda s: s["kind"] < 3)
     values = [F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long") for i in range(3)]
-    values.append(F.size(F.filter(spans, lambda s: s["owners"] <= max_owners)).cast("long"))
-    values.append(F.size(F.filter(spans, lambda s: s["owners"] >= example_owners)).cast("long"))
-    values += [F.sha2(_joined(base).cast("binary"), 256), _joined(spans)]
+    values += [F.size(F.filter(spans, lambda s: ~s["example"])).cast("long"), F.size(F.filter(spans, lambda s: s["example"])).cast("long")]
+    verdicts = F.array_join(F.transform(spans, lambda s: F.when(s["example"], "example").otherwise("live")), ",")
+    values += [F.sha2(_joined(base).cast("binary"), 256), _joined(spans), verdicts]
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(n) for v, n in zip(values, new, strict=True)))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.common import fresh, staged
 
-#: Bits that a level may have: what is broadcast is at most this for each level, and the levels shrink.
-MAX_BITS = 1 << 31
+#: Listed keys up to which the cascade is built and broadcast: its first level then has some 80 MB, and levels shrink.
+MAX_LISTED = 100_000_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -111,8 +111,6 @@ def build_cascade(universe: DataFrame, first_rate: float = 0.05, rate: float = 0
             return Cascade(levels)
         p = first_rate if not levels else rate
         bits = max(64, math.ceil(-count * math.log(p) / math.log(2) ** 2))
-        if bits > MAX_BITS:
-            raise ValueError(f"{count} keys need {bits} bits; split the universe by a hash of the key and build one cascade a part")
         hashes = max(1, round(-math.log2(p)))
 
         at = wrong.select(F.explode(_positions(n, bits, hashes)("h1", "h2")).alias("at"))
@@ -123,23 +121,26 @@ def build_cascade(universe: DataFrame, first_rate: float = 0.05, rate: float = 0
         levels.append((n, bits, hashes, table))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Column) -> DataFrame:
-    """Add ``host, path, rule, verdict`` to ``pages(url, ...)``. A url that no rule fits is blocked if the condition
-    ``listed`` (over a column ``key``, the host) holds for its host, else allowed, as the cascade over all hosts says.
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+    """Add ``host, path, rule, verdict`` to ``pages(url, ...)``. A url that no rule fits is blocked if its host is one of
+    ``listed(key)``, else allowed, as the cascade over all hosts of the pages says.
 
-    Null urls and urls without ``://`` have an empty host and path and are judged like any other. Repeated rows are
-    judged alike; an empty table stays empty. Columns with such names stay; the new ones then get underscores.
+    Null urls and urls without ``://`` have an empty host and path and are judged like any other; null and repeated keys of
+    the list count once or not at all. Repeated rows are judged alike; an empty table stays empty. Columns with such names
+    stay; the new ones then get underscores. Beyond ``max_listed`` listed hosts, of which nothing is broadcast then, hosts are
+    looked up by a join, with the same result.
     """
-    host, path, rule, verdict, name, own = fresh(pages, "host", "path", "rule", "verdict", "key", "fit")
-    parts = pages.withColumn(host, host_of(F.col("url"))).withColumn(path, path_of(F.col("url")))
-    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct()
-    cascade = build_cascade(hosts.select("key", F.coalesce(listed, F.lit(False)).alias("listed")))
-    sent = pages.sparkSession.sparkContext.broadcast(cascade)  # its size follows from the listed hosts; build_cascade bounds it
-
-    @F.pandas_udf("string")
-    def by_list(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(np.where(sent.value.listed(h1.to_numpy(), h2.to_numpy()), "block", "allow"))
-
+    host, path, rule, verdict, name, own, by_rule = fresh(pages, "host", "path", "rule", "verdict", "key", "fit", "listed")
+    keys = listed.select("key").where("key is not null").distinct()
+    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct().join(keys.withColumn("listed", F.lit(True)), "key", "left")
+    hosts = staged(hosts.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "hosts")
     fit, said = rule_of(F.col(host), F.col(path), rules)
-    out = parts.withColumn(rule, fit).withColumn(own, said).withColumn(name, by_list(F.xxhash64(host), F.xxhash64(host, F.lit(1))))
-    return out.select(*(F.col(f"`{c}`") for c in pages.columns), host, path, rule, F.coalesce(own, name).alias(verdict))
+    parts = pages.withColumn(host, host_of(F.col("url"))).withColumn(path, path_of(F.col("url"))).withColumn(rule, fit).withColumn(own, said)
+    if hosts.where("listed").count() > max_listed:
+        found = hosts.where("listed").select(F.col("key").alias(name), F.lit(True).alias(by_rule))
+        parts = parts.join(found, F.col(host) == F.col(name), "left").withColumn(name, F.coalesce(by_rule, F.lit(False)))
+    else:
+        cascade = build_cascade(hosts)
+        parts = parts.withColumn(name, _judged(cascade)(F.xxhash64(host), F.xxhash64(host, F.lit(1))))
+    by_list = F.when(F.col(name), "block").otherwise("allow")
+    return parts.select(*(F.col(f"`{c}`") for c in pages.columns), host, path, rule, F.coalesce(own, by_list).alias(verdict))

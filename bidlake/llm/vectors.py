@@ -262,8 +262,8 @@ def forest(rows: DataFrame, how: tuple[float, float, int, float], sample: int, k
         parts = math.ceil(models.agg(F.sum(F.length("model"))).first()[0] / PART_BYTES)
         for part in range(parts):
             own = models.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).select("key", "model").collect()
-            rows = _routed(rows, {r["key"]: pickle.loads(r["model"]) for r in own}, kind)
-        rows = staged(rows, "routed")
+            # written before the next part is sent, so that workers hold one part at a time
+            rows = staged(_routed(rows, {r["key"]: pickle.loads(r["model"]) for r in own}, kind), "routed")
 
 
 def _near(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:

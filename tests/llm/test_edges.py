@@ -76,6 +76,35 @@ def test_packing(docs, nothing):
     assert packing.pack(packing.pieces(nothing, WORDS)).count() == 0
 
 
+def test_packing_parts_and_full_pieces(spark):
+    """Many pieces of one length in many parts, full ones among them, and a word that is longer than a sequence."""
+    d = spark.createDataFrame([(i % 7, "alpha " * (i % 3) + "beta") for i in range(500)] + [(900, "x" * 40_000), (901, "word " * 63)], "doc_id long, text string")
+    rows = packing.pack(packing.pieces(d, WORDS, 64), 64, part_rows=10).collect()
+    assert {r["length"] for r in rows if r["doc_id"] == 901} == {64} and max(r["length"] for r in rows) == 64
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, o, n), (t, p, _) in zip(places, places[1:]):
+        assert (p == o + n) if s == t else p == 0
+    sizes = {}
+    for r in rows:
+        sizes[r["length"]] = sizes.get(r["length"], 0) + 1
+    assert len({s for s, *_ in places}) == packing.best_fit(sizes, 64)[1]
+
+
+def test_kept_words_are_bounded():
+    t = packing.WordTokenizer(WORDS)
+    t.texts(["short " + " ".join(f"{i:x}" * 20 for i in range(100))])
+    assert "short" in t.known and max(map(len, t.known)) <= packing.KEPT_CHARS
+
+
+def test_quality_sample_of_repeated_ids(spark):
+    """An id held by many rows gives one row of the sample."""
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    once = quality.train(docs.groupBy("doc_id").agg(F.min("text").alias("text")), labels)
+    again = quality.train(docs, labels)
+    assert (once.w == again.w).all() and once.bias == again.bias
+
+
 def test_sequences(spark):
     d = spark.createDataFrame([(i, "alpha beta " * i) for i in range(9)], "doc_id long, text string")
     packed = packing.pack(packing.pieces(d, WORDS, 16), 16)
@@ -152,13 +181,15 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/")]
 def test_urls(spark):
     urls_ = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/x?y#z", "x://example.com/en/://b", "http://ads.example.net?/en/", "ftp://com#f", "a\n://spam.org/p"]
     pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls_ + urls_[:5])], "page_id long, url string, host string")
-    rows = {r["page_id"]: r for r in urls.judge(pages, RULES, F.col("key").rlike("ads|spam")).collect()}
+    listed = spark.createDataFrame([("ads.example.net",), ("spam.org",), ("spam.org",), (None,), ("elsewhere.org",)], "key string")
+    rows = {r["page_id"]: r for r in urls.judge(pages, RULES, listed).collect()}
+    assert sorted(urls.judge(pages, RULES, listed, max_listed=0).collect()) == sorted(rows.values())
     assert len(rows) == 14 and rows[0]["host"] == "own"
     assert [(rows[i]["_host"], rows[i]["path"], rows[i]["rule"], rows[i]["verdict"]) for i in range(9)] == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
         ("a.example.com", "/en/x", "example.com/en/", "block"), ("example.com", "/en/://b", "example.com/en/", "block"), ("ads.example.net", "", None, "block"), ("com", "", None, "allow"), ("spam.org", "/p", None, "block"),
     ]
-    assert urls.judge(pages.limit(0), RULES, F.lit(True)).count() == 0
+    assert urls.judge(pages.limit(0), RULES, listed).count() == 0
 
 
 def test_cascade_is_exact(spark):
@@ -189,6 +220,36 @@ def test_widely_copied_tokens_are_no_spans(spark):
     mixed = "zQ7hT2kLw9XbV4nR8sYc1MpD"
     docs = spark.createDataFrame([(i, f"o{i}", f"see {mixed}") for i in range(4)], "doc_id long, source string, text string")
     assert {r["spans"] for r in secrets.scan(docs).collect()} == {""}
+    two = docs.withColumn("source", F.concat(F.lit("o"), F.col("doc_id") % 2))
+    assert {(r["spans"], r["verdicts"], r["n_live"]) for r in secrets.scan(two).collect()} == {("mixed:4:28", "live", 1)}
+    copied = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit(f"{mixed} token=abcdef").alias("text"))
+    assert {(r["spans"], r["verdicts"], r["n_example"]) for r in secrets.scan(copied).collect()} == {("assign:25:37", "example", 1)}
+
+
+def test_ownership_by_brute_force(spark):
+    """Verdicts of every span, over all rows, against counting values by hand: owners and repositories near both limits."""
+    rng = np.random.default_rng(4)
+    values = [f"passwd=Value{i:04d}" for i in range(40)] + ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJ23456"), 16)) for _ in range(10)] + ["".join(rng.choice(list("abcdefGHIJKL0123456789"), 30)) + "aZ9" for _ in range(30)]
+    rows = []
+    for i in range(600):
+        own = rng.choice(len(values), rng.integers(0, 3), replace=False)
+        rows.append((i % 500, f"o{rng.integers(6) if rng.random() < 0.3 else int(own.sum()) % 6}", " ; ".join(values[v] for v in own)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found, held = [], {}
+    for repo, owner, text in rows:
+        base = secrets.base_spans(text)
+        spans = sorted(base + secrets.mixed_spans(text, base))
+        found.append(spans)
+        for *_, value in spans:
+            held.setdefault(value, set()).add((repo, owner))
+    example = {v: len({o for _, o in at}) >= 3 or len(at) >= 12 for v, at in held.items()}
+    assert 5 < sum(example.values()) < len(example) - 5
+    want = []
+    for (repo, owner, text), spans in zip(rows, found):
+        kept = [s for s in spans if s[1] < 3 or not example[s[3]]]
+        want.append((repo, text, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in kept), ",".join("example" if example[v] else "live" for *_, v in kept)))
+    got = [(r["doc_id"], r["text"], r["spans"], r["verdicts"]) for r in secrets.scan(docs, example_repos=12).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_vectors(spark):

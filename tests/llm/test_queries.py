@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from bidlake.llm import ann
+from bidlake.llm import ann, quality
 from bidlake.llm import queries as q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,6 +130,19 @@ def test_quality(spark, sf_dir):
     assert (test["predicted"] == test["quality"]).mean() >= 0.95
 
 
+def test_quality_scores(spark, sf_dir):
+    """Every document's score against the sum over all pairs of features, written out; training again gives the same model."""
+    got = q.op4_quality(spark, sf_dir).toPandas().set_index("doc_id")["score"]
+    docs = table(sf_dir, "documents")
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for i, text in zip(docs["doc_id"], docs["text"]):
+        ids, x = quality.features(text)
+        vx = (model.v[ids] * x[:, None]).astype(float)
+        pairs = np.triu(vx @ vx.T, 1).sum() if len(ids) < 3000 else ((vx.sum(0) ** 2).sum() - (vx**2).sum()) / 2
+        raw = model.bias + float(model.w[ids].astype(float) @ x) + pairs
+        assert abs(got[i] - 1 / (1 + np.exp(-raw))) < 1e-4
+
+
 def test_quality_larger(spark):
     sf = "/root/testdata/sf0.1"
     got = q.op4_quality(spark, sf).toPandas().set_index("doc_id")
@@ -139,13 +152,17 @@ def test_quality_larger(spark):
 
 def test_url_filter(spark, sf_dir):
     got = q.op5_url_filter(spark, sf_dir).toPandas().set_index("page_id")
-    for i, url in table(sf_dir, "pages").set_index("page_id")["url"].items():
+    pages = table(sf_dir, "pages").set_index("page_id")
+    marked = [bool(re.search(q.MARKED_TITLE, h or "")) for h in pages["html"]]
+    per = pd.Series(marked, index=pages.index).groupby(got["host"]).agg(["size", "mean"])
+    listed = {h for h, n, m in per.itertuples() if re.search(q.LISTED, h) or (n >= q.MARKED_PAGES and m >= 0.5)}
+    for i, url in pages["url"].items():
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = re.split(r"[/?#]", rest)[0]
         path = re.split(r"[?#]", rest[len(host) :])[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
         fit = [(h + p, v) for v, h, p in q.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule, verdict = max(fit, key=lambda f: len(f[0])) if fit else (None, "block" if re.search(q.LISTED, host) else "allow")
+        rule, verdict = max(fit, key=lambda f: len(f[0])) if fit else (None, "block" if host in listed else "allow")
         assert (got.at[i, "host"], got.at[i, "path"], got.at[i, "rule"], got.at[i, "verdict"]) == (host, path, rule, verdict)
 
 
