@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,28 +126,41 @@ def gap_sessions(events: DataFrame, key: list[str], at: str, days: int = 30) ->
     return events.withColumn("_new", gap.cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
 
 
-def thread_roots(messages: DataFrame, rounds: int = 64) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to a new table in the folder of ``spark.checkpoint.dir`` and read back, so that its branches read it instead of computing it
+    again. Where the folder is unset, which is for tests in local mode only, a temporary one is used."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/bidlake-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def thread_roots(messages: DataFrame) -> DataFrame:
     """``organization_id, message_id, root``: the smallest message id that reply references connect a message with.
 
     ``messages(organization_id, message_id, refs array<string>)``. Labels sink to the smallest neighbour's, then jump to their label's label,
-    until none changes; each round is checkpointed in the folder of spark.checkpoint.dir.
+    until none changes, however long that takes; each round is written to the folder of spark.checkpoint.dir.
     """
-    spark = messages.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     ids = messages.select(ORG, "message_id").distinct()
     cites = messages.select(ORG, F.col("message_id").alias("a"), F.explode("refs").alias("b"))
     known = cites.join(ids.withColumnRenamed("message_id", "b"), [ORG, "b"], "left_semi").select(ORG, "a", "b")
-    edges = known.unionByName(known.select(ORG, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = ids.withColumn("root", F.col("message_id")).checkpoint()
-    for _ in range(rounds):
+    edges = written(known.unionByName(known.select(ORG, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    alone = ids.withColumn("root", F.col("message_id"))
+    if edges.isEmpty():
+        return alone
+    linked = edges.select(ORG, F.col("a").alias("message_id")).distinct()
+    labels = written(linked.withColumn("root", F.col("message_id")), "labels")
+    while True:
         seen = edges.join(labels.select(ORG, F.col("message_id").alias("b"), "root"), [ORG, "b"]).groupBy(ORG, F.col("a").alias("message_id")).agg(F.min("root").alias("low"))
-        sunk = labels.join(seen, [ORG, "message_id"], "left").select(ORG, "message_id", F.col("root").alias("was"), F.least("root", "low").alias("r"))
+        sunk = written(labels.join(seen, [ORG, "message_id"]).select(ORG, "message_id", F.col("root").alias("was"), F.least("root", "low").alias("r")), "sunk")
         up = sunk.select(ORG, F.col("message_id").alias("r"), F.col("r").alias("rr"))
-        new = sunk.join(up, [ORG, "r"]).select(ORG, "message_id", "was", F.least("r", "rr").alias("root")).checkpoint()
+        new = written(sunk.join(up, [ORG, "r"]).select(ORG, "message_id", "was", F.least("r", "rr").alias("root")), "labels")
         labels = new.drop("was")
         if new.where("was <> root").isEmpty():
-            break
-    return labels
+            return labels.unionByName(alone.join(linked, [ORG, "message_id"], "left_anti"))

@@ -304,3 +304,29 @@ def email_report(observed: DataFrame) -> DataFrame:
 
 def tag_counts(cases: DataFrame) -> DataFrame:
     return cases.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def subsets(cases: DataFrame, id_col: str, prefix: str = "reliability-") -> DataFrame:
+    """Add ``subset``: reliability for cases whose id starts with the prefix, else standard."""
+    return cases.withColumn("subset", F.when(F.col(id_col).startswith(prefix), "reliability").otherwise("standard"))
+
+
+def label_audit(labels: DataFrame, printed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(labels, corrections)``: labels ``(doc_id, line_no, field, value)`` of which those that their document does not print are null, and what was
+    changed as ``doc_id, line_no, field, original_value, evaluation_value, reason``. ``printed(doc_id, field)`` names what is printed."""
+    seen = labels.join(printed.select("doc_id", "field").distinct().withColumn("printed", F.lit(True)), ["doc_id", "field"], "left")
+    gone = F.col("value").isNotNull() & F.col("printed").isNull()
+    fixed = seen.select("doc_id", "line_no", "field", F.when(~gone, F.col("value")).alias("value"))
+    changed = seen.where(gone).select("doc_id", "line_no", "field", F.col("value").alias("original_value"), F.lit(None).cast("string").alias("evaluation_value"), F.lit("Not printed in the document.").alias("reason"))
+    return fixed, changed
+
+
+def regrade(outputs: DataFrame, labels: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Score saved outputs against both sets of labels, all ``(doc_id, line_no, field, value)``: ``doc_id, field, correct_before, correct_after, total``
+    where the two differ. A label of null is met by no output."""
+    at = ["doc_id", "line_no", "field"]
+    both = labels.select(*at, F.col("value").alias("was")).join(corrected.select(*at, F.col("value").alias("now")), at)
+    scored = both.join(outputs.select(*at, F.col("value").alias("got")), at, "left")
+    same = lambda c: F.col("got").eqNullSafe(F.col(c))
+    out = scored.groupBy("doc_id", "field").agg(F.count_if(same("was")).alias("correct_before"), F.count_if(same("now")).alias("correct_after"), F.count("*").alias("total"))
+    return out.where("correct_before <> correct_after")

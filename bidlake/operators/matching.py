@@ -75,10 +75,10 @@ def match_senders(senders: DataFrame, suppliers: DataFrame, contacts: DataFrame,
     domain = F.when(~email_domain(F.col("email")).isin(*GENERIC_DOMAINS), email_domain(F.col("email")))
     aliases = b.select(ORG, "right_id", F.explode("aliases").alias("alias"))
     return cascade(a, [
-        Stage("CONTACT", equal(a, c, norm_email(F.col("email")), norm_email(F.col("email"))), 1.0),
-        Stage("DOMAIN", equal(a, b, domain, F.lower("email_domain")), 0.99),
-        Stage("ALIAS", equal(a, aliases, norm_supplier(F.col("name")), norm_supplier(F.col("alias"))), 0.98, False),
-        Stage("NAME", equal(a, b, norm_supplier(F.col("name")), norm_supplier(F.col("name"))), 0.97, False),
+        Stage("EXACT_CONTACT_EMAIL", equal(a, c, norm_email(F.col("email")), norm_email(F.col("email"))), 1.0),
+        Stage("EXACT_VERIFIED_DOMAIN", equal(a, b, domain, F.lower("email_domain")), 0.99),
+        Stage("KNOWN_ALIAS", equal(a, aliases, norm_supplier(F.col("name")), norm_supplier(F.col("alias"))), 0.98, False),
+        Stage("NORMALIZED_NAME", equal(a, b, norm_supplier(F.col("name")), norm_supplier(F.col("name"))), 0.97, False),
     ])
 
 
@@ -124,16 +124,19 @@ def _grams(df: DataFrame, n: int = 3) -> DataFrame:
     return df.select(ORG, "k", F.explode(grams).alias("g"))
 
 
-def similar(left: DataFrame, right: DataFrame, top: int = 3, score=None) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, top: int = 3, score=None, group: str | None = None) -> DataFrame:
     """The ``top`` right rows for each left row by similarity of the normalised text: ``left(organization_id, left_id, text)``,
     ``right(organization_id, right_id, text)``, ties to smaller ids. Only texts that share three characters in a row are compared, and
-    each distinct pair of texts once. ``score`` takes the two texts' columns; the default is the ratio, to 2 decimals."""
+    each distinct pair of texts once. ``score`` takes the two texts' columns; the default is the ratio, to 2 decimals. With ``group`` a right id
+    counts once, by its best text."""
     a = left.select(ORG, "left_id", norm_key(F.col("text")).alias("k"))
-    b = right.select(ORG, "right_id", norm_key(F.col("text")).alias("k"))
+    b = right.select(ORG, "right_id", norm_key(F.col("text")).alias("k")).distinct()
     met = _grams(a.select(ORG, "k").distinct()).withColumnRenamed("k", "ka").join(_grams(b.select(ORG, "k").distinct()).withColumnRenamed("k", "kb"), [ORG, "g"]).select(ORG, "ka", "kb").distinct()
     value = score(F.col("ka"), F.col("kb")) if score else F.round(similarity("ka", "kb"), 2)
     ids = b.withColumn("r", F.row_number().over(Window.partitionBy(ORG, "k").orderBy("right_id"))).where(F.col("r") <= top).drop("r")  # more rows of one text cannot be among the top
     each = met.withColumn("score", value).join(ids.withColumnRenamed("k", "kb"), [ORG, "kb"])
+    if group:
+        each = each.groupBy(ORG, "ka", group).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(ORG, "ka").orderBy(F.col("score").desc(), "right_id"))
     best = each.withColumn("rank", rank).where(F.col("rank") <= top)
     return a.withColumnRenamed("k", "ka").join(best, [ORG, "ka"]).select(ORG, "left_id", "right_id", "score", "rank")
@@ -143,7 +146,8 @@ def possible_suppliers(unmatched: DataFrame, suppliers: DataFrame, least: float
     """Of ``unmatched(organization_id, left_id, text)`` up to three suppliers of a similar name or alias; the threshold is applied after
     taking the best three."""
     names = suppliers.select(ORG, F.col("supplier_id").alias("right_id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array()))).alias("text"))
-    best = similar(unmatched, names, 9).groupBy(ORG, "left_id", "right_id").agg(F.max("score").alias("score"))
+    # a supplier counts by its best name, however many it has: names are ranked as texts of their own, then reduced to suppliers
+    best = similar(unmatched, names, 3, group="right_id").groupBy(ORG, "left_id", "right_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(ORG, "left_id").orderBy(F.col("score").desc(), "right_id"))
     return best.withColumn("rank", rank).where((F.col("rank") <= 3) & (F.col("score") >= least))
 
@@ -160,7 +164,7 @@ def propose_suppliers(matches: DataFrame) -> DataFrame:
     """For ``matches(organization_id, left_id, method, email, name)`` what to do: a known supplier's new contact is added when domain, alias or
     name matched; the unmatched are proposed as new once a name, or reviewed if they write from a public mail domain."""
     generic = email_domain(F.col("email")).isin(*GENERIC_DOMAINS)
-    action = F.when(F.col("method").isin("DOMAIN", "ALIAS", "NAME"), "ADD_CONTACT").when(F.col("method") == "CONTACT", "NONE").when(F.col("method") != "NO_MATCH", "REVIEW").when(generic, "REVIEW").otherwise("NEW_UNVERIFIED")
+    action = F.when(F.col("method").isin("EXACT_VERIFIED_DOMAIN", "KNOWN_ALIAS", "NORMALIZED_NAME"), "ADD_CONTACT").when(F.col("method") == "EXACT_CONTACT_EMAIL", "NONE").when(F.col("method") != "NO_MATCH", "REVIEW").when(generic, "REVIEW").otherwise("NEW_UNVERIFIED")
     out = matches.withColumn("action", action).withColumn("key", norm_supplier(F.col("name")))
     first = F.row_number().over(Window.partitionBy(ORG, "action", "key").orderBy("left_id"))
     return out.withColumn("proposed", (F.col("action") == "NEW_UNVERIFIED") & (first == 1)).drop("key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES, functions of (spark, sf_dir), and SQL, by their names.
-MODULES = ("pricing", "catalog", "documents", "evaluation", "desk", "decisions", "streams")
+MODULES = ("pricing", "catalog", "documents", "evaluation", "desk", "decisions", "intake", "streams")
 
 
 def queries() -> dict:

@@ -221,10 +221,10 @@ SQL = {
             _SUP + """, l AS (SELECT c_custkey AS left_id, CASE WHEN c_custkey % 3 = 0 THEN 'S' || c_custkey || ' Inc.' ELSE 'Supplier#' || lpad((c_custkey % 50)::VARCHAR, 9, '0') || ' LLC' END AS name,
               CASE c_custkey % 5 WHEN 0 THEN 'bid@c' || c_custkey % 120 || '.example.org' WHEN 1 THEN 'x@s' || c_custkey || '.example.com' ELSE 'me@gmail.com' END AS email FROM customer)""",
             [
-                ("CONTACT", "SELECT left_id, id AS right_id FROM l JOIN s ON email = 'bid@c' || id % 90 || '.example.org'", True),
-                ("DOMAIN", "SELECT left_id, id AS right_id FROM l JOIN s ON split_part(email, '@', 2) = s.dom", True),
-                ("ALIAS", f"SELECT left_id, id AS right_id FROM l JOIN s ON replace({_SUPNAME.format('l.name')}, ' ', '') = replace({_SUPNAME.format('s.alias')}, ' ', '')", False),
-                ("NAME", f"SELECT left_id, id AS right_id FROM l JOIN s ON replace({_SUPNAME.format('l.name')}, ' ', '') = replace({_SUPNAME.format('s.name')}, ' ', '')", False),
+                ("EXACT_CONTACT_EMAIL", "SELECT left_id, id AS right_id FROM l JOIN s ON email = 'bid@c' || id % 90 || '.example.org'", True),
+                ("EXACT_VERIFIED_DOMAIN", "SELECT left_id, id AS right_id FROM l JOIN s ON split_part(email, '@', 2) = s.dom", True),
+                ("KNOWN_ALIAS", f"SELECT left_id, id AS right_id FROM l JOIN s ON replace({_SUPNAME.format('l.name')}, ' ', '') = replace({_SUPNAME.format('s.alias')}, ' ', '')", False),
+                ("NORMALIZED_NAME", f"SELECT left_id, id AS right_id FROM l JOIN s ON replace({_SUPNAME.format('l.name')}, ' ', '') = replace({_SUPNAME.format('s.name')}, ' ', '')", False),
             ],
             ", CASE WHEN n = 1 THEN CASE stage WHEN 0 THEN 1.0 WHEN 1 THEN 0.99 WHEN 2 THEN 0.98 ELSE 0.97 END ELSE 0 END::DOUBLE AS score",
         ),

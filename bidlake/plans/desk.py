@@ -65,7 +65,7 @@ def fallback_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = a.table(spark, sf_dir, "customer"), F.col("c_custkey")
-    method = F.element_at(F.array(*map(F.lit, ("NO_MATCH", "CONTACT", "DOMAIN", "AMBIGUOUS_DOMAIN"))), (k % 4 + 1).cast("int"))
+    method = F.element_at(F.array(*map(F.lit, ("NO_MATCH", "EXACT_CONTACT_EMAIL", "EXACT_VERIFIED_DOMAIN", "AMBIGUOUS_EXACT_VERIFIED_DOMAIN"))), (k % 4 + 1).cast("int"))
     m = c.select(F.lit(a.TENANT).alias(ORG), k.alias("left_id"), method.alias("method"), F.when(k % 3 == 0, "x@gmail.com").otherwise("x@own.example").alias("email"), F.concat(F.lit("Firm "), k % 30, F.lit(" Ltd")).alias("name"))
     return matching.propose_suppliers(m).select("left_id", "action", "proposed")
 
