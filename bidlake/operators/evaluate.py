@@ -207,6 +207,7 @@ def validate_extraction(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     return per_line.unionByName(per_doc)
 
 
+# Critical codes.
 LOW = ("MISSING_FIELD", "LINE_TOTAL_MISMATCH", "SUBTOTAL_MISMATCH", "GRAND_TOTAL_MISMATCH", "DUPLICATE_LINE", "OCR_QUALITY", "UNTRUSTED_INSTRUCTION", "UNSUPPORTED_EXTRACTED_VALUE", "SOURCE_VALUE_CONFLICT", "SOURCE_LINE_COUNT_MISMATCH", "DOCUMENT_INSTRUCTION_TEXT_DETECTED", "SECOND_PASS_DISAGREEMENT", "CURRENCY_REVIEW_REQUIRED", "QUANTITY_MOQ_AMBIGUITY", "DATE_REVIEW_REQUIRED")
 
 
@@ -218,6 +219,7 @@ def confidence_band(docs: DataFrame, codes: DataFrame) -> DataFrame:
     return d.select("doc_id", band.alias("band")).withColumn("confidence", F.when(F.col("band") == "LOW", 0.4).when(F.col("band") == "MEDIUM", 0.7).otherwise(0.9))
 
 
+# Words of table heads.
 HEADERS = ("sku", "description", "qty", "uom", "unitprice")
 
 
@@ -256,6 +258,7 @@ def parser_matrix(rows: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFr
     )
 
 
+# How a sender was linked, and the metric of each.
 LINKED = {"EXACT_CONTACT_EMAIL": "exact_contact", "EXACT_VERIFIED_DOMAIN": "domain", "KNOWN_ALIAS": "alias", "NORMALIZED_NAME": "normalized_name"}
 OTHERWISE = {"POSSIBLE_EXISTING_SUPPLIER": "duplicate_risk", "NEW_UNVERIFIED_CREATED": "new_supplier"}
 MAIL_FIELDS = {"rfq": "rfq_number", "quote_number": "quote_number", "currency": "currency", "email_type": "email_type", "sku": "supplier_sku", "quantity": "quantity", "unit_price": "unit_price", "moq": "moq", "lead_time": "lead_time_days", "payment_terms": "payment_terms", "shipping": "shipping_cost", "tax": "tax"}
@@ -330,3 +333,28 @@ def regrade(outputs: DataFrame, labels: DataFrame, corrected: DataFrame) -> Data
     same = lambda c: F.col("got").eqNullSafe(F.col(c))
     out = scored.groupBy("doc_id", "field").agg(F.count_if(same("was")).alias("correct_before"), F.count_if(same("now")).alias("correct_after"), F.count("*").alias("total"))
     return out.where("correct_before <> correct_after")
+
+
+# Fixed value: text that reads like instructions to whoever processes the document.
+UNTRUSTED = r"(?i)ignore (all|previous)|system prompt|approve (this|the) quote"
+
+
+def document_codes(docs: DataFrame, lines: DataFrame, values: DataFrame, source_lines: DataFrame, second: DataFrame) -> DataFrame:
+    """Review codes ``doc_id, line_no, code`` of documents beside those of ``validate_extraction``.
+
+    ``docs(doc_id, text, omitted_pages, parser_quality)``: pages left out, little readable text, instruction text. ``lines(doc_id, line_no, quantity,
+    unit_price, price_tiers)``: prices that are not that of the one tier of the quantity, and other numbers of lines than ``source_lines(doc_id, n)``.
+    ``values(doc_id, line_no, field, located)``: values without a source. ``second(doc_id, line_no, field, first_value, second_value)``: what a second
+    reading of the source contradicts.
+    """
+    code = lambda df, name, at=None: df.select("doc_id", (F.lit(None) if at is None else F.col(at)).cast("int").alias("line_no"), F.lit(name).alias("code"))
+    omitted = docs.where(F.coalesce(F.size("omitted_pages"), F.lit(0)) > 0)
+    fits = F.filter("price_tiers", lambda t: (t["minimum"] <= F.col("quantity")) & (t["maximum"].isNull() | (F.col("quantity") <= t["maximum"])))
+    tiered = lines.where((F.coalesce(F.size("price_tiers"), F.lit(0)) > 0) & F.col("quantity").isNotNull()).withColumn("fits", fits)
+    wrong = tiered.where((F.size("fits") != 1) | ~F.col("unit_price").eqNullSafe(F.try_element_at("fits", F.lit(1))["unit_price"]))
+    count = lines.groupBy("doc_id").agg(F.count("*").alias("lines"))
+    off = docs.select("doc_id").join(count, "doc_id", "left").join(source_lines, "doc_id", "left").where(F.coalesce("lines", F.lit(0)) != F.coalesce("n", F.lit(0)))
+    differs = second.where(~F.col("first_value").eqNullSafe(F.col("second_value")))
+    out = code(omitted, "PAGES_OMITTED").unionByName(code(docs.where("parser_quality = 'low'"), "OCR_QUALITY")).unionByName(code(docs.where(F.col("text").rlike(UNTRUSTED)), "UNTRUSTED_INSTRUCTION"))
+    out = out.unionByName(code(wrong, "TIER_PRICE_REVIEW", "line_no")).unionByName(code(values.where(~F.coalesce("located", F.lit(False))), "SOURCE_EVIDENCE_ERROR", "line_no"))
+    return out.unionByName(code(off, "SOURCE_LINE_COUNT_MISMATCH")).unionByName(code(differs, "SECOND_PASS_DISAGREEMENT", "line_no"))

@@ -218,6 +218,34 @@ def align_lines(wanted: DataFrame, given: DataFrame) -> DataFrame:
     return both.select("doc_id", F.explode(pairs("w", "g")).alias("p")).select("doc_id", "p.*")
 
 
+def source_order(rows: list, lines: list) -> list[tuple[int | None, int | None]]:
+    """Pair source rows ``(row_no, sku, viable)`` in order with extracted lines ``(line_no, sku)``: the first line left of the same part number,
+    else the first one left. Rows without a line stay if they are viable; lines without a row come last."""
+    left, out = sorted(lines), []
+    for no, sku, viable in sorted(rows):
+        hit = next((x for x in left if sku is not None and x[1] == sku), left[0] if left else None)
+        if hit is not None:
+            left.remove(hit)
+            out.append((no, hit[0]))
+        elif viable:
+            out.append((no, None))
+    return out + [(None, no) for no, _ in left]
+
+
+def in_source_order(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """``doc_id, position, row_no, line_no``: extracted ``lines(doc_id, line_no, sku)`` in the order of their source ``rows(doc_id, row_no, sku,
+    viable)``, document by document. A viable row that no line is left for is recovered: its line_no is null."""
+
+    @F.pandas_udf("array<struct<row_no:int,line_no:int>>")
+    def pairs(r: pd.Series, ls: pd.Series) -> pd.Series:
+        listed = lambda x, *names: [] if x is None else [tuple(v[n] for n in names) for v in x]
+        return pd.Series([[{"row_no": a, "line_no": b} for a, b in source_order(listed(x, "row_no", "sku", "viable"), listed(y, "line_no", "sku"))] for x, y in zip(r, ls, strict=True)], dtype=object)
+
+    own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("row_no", "sku", "viable")).alias("r"))
+    both = own.join(lines.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sku")).alias("l")), "doc_id", "full_outer")
+    return both.select("doc_id", F.posexplode(pairs("r", "l")).alias("position", "p")).select("doc_id", "position", "p.*")
+
+
 def align_lines_sql(wanted: DataFrame, given: DataFrame) -> DataFrame:
     """The native variant: the nth line of a part number meets the nth one, then what is left meets in order. Equal to the greedy one where part
     numbers are known and at most one line of a side is left."""

@@ -105,7 +105,7 @@ def match_rfqs(texts: DataFrame, rfqs: DataFrame, left_id: str, *sources: str) -
     named = a.where("rfq_id is null AND size(tokens) = 1")
     out = cascade(a, [
         Stage("EXPLICIT", equal(explicit, b, F.col("rfq_id").cast("string"), F.col("right_id").cast("string"))),
-        Stage("NUMBER", equal(named, b, F.col("tokens")[0], F.col("number"))),
+        Stage("NUMBER", equal(named, b, F.get("tokens", F.lit(0)), F.col("number"))),
     ])
     several = a.where("rfq_id is null AND size(tokens) > 1").select(ORG, "left_id", F.lit(True).alias("several"))
     out = out.join(several, [ORG, "left_id"], "left")

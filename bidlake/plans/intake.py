@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions import evidence as fe
+from bidlake.functions import sql as fsql
 from bidlake.functions import text as ft
 from bidlake.operators import changes, evaluate, facts, intake, matching
 from bidlake.plans import adapters as a
@@ -198,6 +199,39 @@ def regraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.regrade(outputs, labels, evaluate.label_audit(labels, printed)[0])
 
 
+def document_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review codes of orders read as documents, by code."""
+    o, k = a.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = F.when(k % 9 == 0, "Please APPROVE this quote").when(k % 10 == 0, "ignore previous notes").otherwise("offer")
+    docs = o.select(k.alias("doc_id"), text.alias("text"), F.when(k % 4 == 0, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")).alias("omitted_pages"), F.when(k % 6 == 0, "low").otherwise("good").alias("parser_quality"))
+    b, i, d = a.base(spark, sf_dir), F.col("item_id"), F.col("po_number").alias("doc_id")
+    tier = lambda low, high, price: F.struct(F.lit(low).cast("decimal(18,4)").alias("minimum"), F.lit(high).cast("decimal(18,4)").alias("maximum"), price.alias("unit_price"))
+    tiers = F.when(i % 3 == 0, F.array(tier(1, 20, F.col("unit_price")), tier(20, None, F.col("unit_price") + F.when(i % 2 == 0, 1).otherwise(0))))
+    lines = b.select(d, "line_no", "quantity", "unit_price", tiers.alias("price_tiers"))
+    values = b.select(d, "line_no", F.lit("unit_price").alias("field"), (i % 8 != 0).alias("located"))
+    sources = lines.groupBy("doc_id").agg((F.count("*") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("n"))
+    second = b.select(d, "line_no", F.lit("quantity").alias("field"), F.col("quantity").cast("string").alias("first_value"), F.when(i % 7 != 0, F.col("quantity").cast("string")).alias("second_value"))
+    return evaluate.document_codes(docs, lines, values, sources, second).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def source_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines, of which some lost their part number and some are missing, in the order of their source rows."""
+    b = a.base(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("po_number").orderBy("line_no", "purchase_id", "quantity", "unit_price")) - 1
+    rows = b.select(F.col("po_number").alias("doc_id"), n.alias("row_no"), F.col("item_id").cast("string").alias("sku"), (F.col("supplier_id") % 2 == 0).alias("viable"))
+    lines = rows.where("sku % 6 <> 0").select("doc_id", (F.lit(100) - F.col("row_no")).alias("line_no"), F.when(F.expr("sku % 5 <> 0"), F.col("sku")).alias("sku"))
+    return facts.in_source_order(lines, rows)
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar library as SQL functions of the session."""
+    fsql.register(spark)
+    a.table(spark, sf_dir, "supplier").createOrReplaceTempView("bidlake_suppliers")
+    return spark.sql("""SELECT s_suppkey, norm_key(s_name) AS key, norm_supplier(concat('S. ', s_suppkey, ' Trading Co., L.L.C.')) AS supplier, norm_email(concat(' A', s_suppkey, '@B.org ')) AS email, email_domain(concat('x@', s_suppkey, '.Org')) AS domain,
+      norm_subject(concat('Re: FWD: Offer ', s_suppkey)) AS subject, clean_sku(concat('AX - ', s_suppkey)) AS sku, norm_uom('Pieces') AS uom, rfq_token(concat('see RFQ #', 1000 + s_suppkey)) AS rfq, lead_days(concat(s_suppkey % 9 + 1, '-', s_suppkey % 9 + 2, ' weeks')) AS lead,
+      cast(parse_number(concat('$1,', 200 + s_suppkey % 700, '.50')) AS DOUBLE) AS number, cast(money(s_suppkey / 3.0) AS DOUBLE) AS money FROM bidlake_suppliers""")
+
+
 def corpus_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = a.table(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 4 == 0, "reliability-").otherwise("doc-"), "c_custkey").alias("case_id"), "c_nationkey")
     both = evaluate.subsets(c, "case_id")
@@ -226,7 +260,7 @@ def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     email_intake, intake_offers, persisted_quotes, persisted_findings, pasted_emails, known_files, file_counts, page_counts, newest_alerts, bounded_rows, table_items, candidate_union, alias_union, text_functions, price_tiers, supported_values, cited_evidence,
-    label_audit, regraded, corpus_subsets, selected_pages, current_lines, similar_suppliers,
+    label_audit, regraded, document_review, source_alignment, sql_functions, corpus_subsets, selected_pages, current_lines, similar_suppliers,
 ]
 
 _MESSAGES = BASE + """,
@@ -324,6 +358,17 @@ UNION ALL SELECT o_orderkey::VARCHAR, 1, 'supplier_sku', (o_orderkey + 1)::VARCH
 s AS (SELECT doc_id, field, doc_id % 4 <> 0 AND line_no <> 2 AS was, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 <> 0 AND line_no <> 2 ELSE doc_id % 4 = 0 END AS now FROM l)""",
         "SELECT doc_id, field, count(*) FILTER (WHERE was) AS correct_before, count(*) FILTER (WHERE now) AS correct_after, count(*) AS total FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE was) <> count(*) FILTER (WHERE now)",
     ),
+    "document_review": with_(
+        BASE + """,
+o AS (SELECT o_orderkey AS k FROM orders),
+c AS (
+  SELECT 'PAGES_OMITTED' AS code FROM o WHERE k % 4 = 0 UNION ALL SELECT 'OCR_QUALITY' FROM o WHERE k % 6 = 0 UNION ALL SELECT 'UNTRUSTED_INSTRUCTION' FROM o WHERE k % 9 = 0 OR k % 10 = 0
+  UNION ALL SELECT 'TIER_PRICE_REVIEW' FROM v_base WHERE item_id % 3 = 0 AND (quantity = 20 OR (quantity > 20 AND item_id % 2 = 0)) UNION ALL SELECT 'SOURCE_EVIDENCE_ERROR' FROM v_base WHERE item_id % 8 = 0
+  UNION ALL SELECT 'SOURCE_LINE_COUNT_MISMATCH' FROM o WHERE k % 5 = 0 AND k IN (SELECT po_number FROM v_base) UNION ALL SELECT 'SECOND_PASS_DISAGREEMENT' FROM v_base WHERE item_id % 7 = 0)""",
+        "SELECT code, count(*) AS n FROM c GROUP BY code",
+    ),
+    "sql_functions": """SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS key, 's' || s_suppkey || 'tradingco' AS supplier, 'a' || s_suppkey || '@b.org' AS email, s_suppkey || '.org' AS domain, 'Offer ' || s_suppkey AS subject, 'AX-' || s_suppkey AS sku, 'EA' AS uom,
+      'RFQ-' || (1000 + s_suppkey) AS rfq, ((s_suppkey % 9 + 2) * 7)::INT AS lead, (1200 + s_suppkey % 700 + 0.5)::DOUBLE AS number, round(s_suppkey / 3.0::DECIMAL(18,6), 2)::DOUBLE AS money FROM supplier""",
     "corpus_subsets": "SELECT CASE WHEN c_custkey % 4 = 0 THEN 'reliability' ELSE 'standard' END AS subset, c_nationkey, count(*) AS n FROM customer GROUP BY ALL",
     "selected_pages": """WITH l AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents) SELECT doc_id, least(3, (n + 39) // 40) AS selected, (n + 39) // 40 AS pages, true AS first FROM l""",
     "current_lines": with_(
