@@ -1,9 +1,14 @@
-"""Near copies of texts by word shingles: candidates from MinHash bands and SimHash, verified by Jaccard similarity.
+"""Near copies of texts by word shingles: candidates from SimHash and MinHash bands, verified by Jaccard similarity.
 
 Two texts of similarity 0.8 differ in about 10 of 64 SimHash bits, far beyond what an index of shared fingerprint
 positions can promise without pairing unrelated texts. So the index lists texts under bands of MinHash values as well:
 20 bands of 5 rows, of which texts of similarity 0.8 miss all with probability (1 - 0.8^5)^20 = 0.0004. Every candidate
 is verified by the true similarity of its shingle sets. Texts of one shingle set are one node from the start.
+
+Only groups are sought. So the members of a list are first compared with one leader; in a list of near copies that
+links most of them, at a comparison a member. Lists that then still hold several groups are compared as a whole, inside
+a task, by products of their members' shingle matrices; members of one group are not compared again, and pairs leave the
+task only if they link.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.llm import simhash
@@ -21,6 +26,8 @@ from bidlake.llm.common import fresh, numbered, one_of_each, small_batches, stag
 from bidlake.llm.graph import components
 
 BANDS, ROWS = 20, 5
+#: Ids of nodes up to which a list of them is broadcast (8 bytes each); beyond, Spark joins them.
+MOST_SENT = 2_000_000
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -42,98 +49,137 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, digest, n, fp, keys`` for each row of ``texts(node, text)``."""
+    """``node, digest, n, fp, keys, s`` for each row of ``texts(node, text)``; ``s`` is the shingle set, cut to 32 bits a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, fps, keys = [], [], [], []
+            digests, sizes, fps, keys, sets = [], [], [], [], []
             for x in b.column(1):
                 hashes = simhash.shingle_hashes(x.as_py(), shingle)
                 own = np.unique(hashes)
+                short = np.unique(own.astype(np.uint32))
                 digests.append(xxhash.xxh128_digest(own.tobytes()))
-                sizes.append(len(own))
+                sizes.append(len(short))
                 fps.append(simhash.bits_of(hashes))
                 keys.append(band_keys(own))
-            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "n", "fp", "keys"])
-
-    return texts.mapInArrow(run, "node long, digest binary, n long, fp long, keys array<long>")
-
-
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, s``: the shingle set of each row of ``texts(node, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    return texts.mapInArrow(run, "node long, s array<long>")
-
+                sets.append(short.view(np.int32))
+            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "n", "fp", "keys", "s"])
 
-def _alike(n: Column, m: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be as similar as that."""
-    return F.least(n, m) / F.greatest(n, m) >= similarity
+    return texts.mapInArrow(run, "node long, digest binary, n int, fp long, keys array<long>, s array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The pairs ``(a, b)`` of which ``sets(node, s)`` says that they have at least this Jaccard similarity."""
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
-def _met(lists: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """``key, node, a, b``: members of lists with the others of the same list that may be similar, as ordered pairs."""
-    met = lists.join(others.toDF("key", "other", "m"), "key").where((F.col("node") != F.col("other")) & _alike(F.col("n"), F.col("m"), similarity))
-    return met.select("key", "node", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-
-
-def links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, long_list: int = 256) -> DataFrame:
-    """Pairs ``a < b`` of ``nodes(node, n, fp, keys)`` of at least this similarity; ``texts(node, text)`` has their texts.
-
-    Lists of up to ``long_list`` members are paired at once. In longer ones, which are groups of near copies as a rule,
-    all members are compared with 16 leaders; members that link with none of them elect new leaders, four times as many
-    each round, until every member is a leader or linked to one.
+def _ordered(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of ``met(node, n, other, m)`` whose sizes allow the similarity, each once."""
+    may = met.where((F.col("node") != F.col("other")) & (F.least("n", "m") / F.greatest("n", "m") >= similarity))
+    return may.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def shared_shingles(a: list[np.ndarray], b: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """How many members each set of ``a`` shares with each of ``b``, by products of their 0-1 matrices, a block of members at a time."""
+    flat = np.concatenate([*a, *b])
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    several = held > 1  # what one set alone has, no pair shares
+    rows, column = rows[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for lo in range(0, int(several.sum()), block):
+        own = slice(*np.searchsorted(column, [lo, lo + block]))
+        m = np.zeros((len(a) + len(b), block), dtype=np.float32)
+        m[rows[own], column[own] - lo] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _compared(group: pa.Table, similarity: float) -> pa.Table:
+    """The pairs ``a, b`` of a list's nodes, or of two chunks of it, that are of different roots and similar."""
+    node, root, left, right = (group[c].to_numpy(zero_copy_only=False) for c in ("node", "root", "left", "right"))
+    sets = [np.asarray(x.values) for x in group["s"]]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    shared = shared_shingles([sets[i] for i in a], [sets[i] for i in b])
+    n = np.array([len(x) for x in sets], dtype=np.float64)
+    alike = shared >= similarity * (n[a][:, None] + n[b][None, :] - shared) - 1e-9
+    i, j = np.nonzero(alike & (root[a][:, None] != root[b][None, :]) & (node[a][:, None] != node[b][None, :]))
+    low, high = np.minimum(node[a[i]], node[b[j]]), np.maximum(node[a[i]], node[b[j]])
+    return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+
+def _in_chunks(members: DataFrame, most: int) -> DataFrame:
+    """Deal ``members(key, node, root)`` of lists to groups ``(key, pair)`` of at most two chunks of about ``most``, with the sides ``left`` and
+    ``right`` that each is on. A root with more members than that in a list has chunks of its own, which do not meet each other."""
+    size = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    parts = size.groupBy("key", F.when(F.col("n") > most, F.col("root")).otherwise(-1).alias("part")).agg(F.ceil(F.sum("n") / most).cast("int").alias("chunks"))
+    several = parts.groupBy("key").agg(F.sum("chunks").alias("of")).where("of > 1")
+    parts = staged(parts.join(several, "key").select("key", "part", "chunks"), "parts")
+    both = F.lit(True)
+    if parts.isEmpty():
+        return members.withColumns({"pair": F.lit("all"), "left": both, "right": both})
+    whole = members.join(parts.select("key").distinct(), "key", "left_anti").withColumns({"pair": F.lit("all"), "left": both, "right": both})
+    big = parts.where("part >= 0").select("key", F.col("part").alias("root"), F.col("part").alias("own"))
+    m = members.join(parts.select("key").distinct(), "key", "left_semi").join(big, ["key", "root"], "left").withColumn("part", F.coalesce("own", F.lit(-1))).join(parts, ["key", "part"])
+    m = m.withColumn("chunk", F.concat_ws("/", "part", F.pmod(F.xxhash64("node"), F.col("chunks")))).select("key", "node", "root", "part", "chunk")
+    chunks = parts.select("key", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select("key", "part", F.concat_ws("/", "part", "c").alias("chunk"))
+    met = chunks.join(chunks.toDF("key", "other_part", "other"), "key").where("chunk <= other AND NOT (part = other_part AND part >= 0)")
+    met = met.select("key", "chunk", "other", F.concat_ws("|", "chunk", "other").alias("pair"))
+    first = m.join(met, ["key", "chunk"]).select("key", "node", "root", "pair", both.alias("left"), (F.col("chunk") == F.col("other")).alias("right"))
+    second = m.withColumnRenamed("chunk", "other").join(met.where("chunk <> other"), ["key", "other"]).select("key", "node", "root", "pair", F.lit(False).alias("left"), both.alias("right"))
+    return whole.unionByName(first).unionByName(second)
+
+
+def groups(nodes: DataFrame, sets: DataFrame, similarity: float, lead: bool = True, most: int = 1000) -> DataFrame:
+    """Components ``node, root`` of the links of at least this similarity among ``nodes(node, n, fp, keys)``, n > 0, whose
+    shingle sets are in ``sets(node, s)``, as ``graph.components`` gives them.
+
+    All pairs that meet in a list are compared, but for those that the leaders' links (without ``lead``: SimHash alone) have
+    united already. Leaders are the members whose lists are longest: the text that the others are copies of, as a rule.
     """
-    lists = staged(nodes.select("node", "n", F.explode("keys").alias("key")).select("key", "node", "n"), "lists")
+    fp = F.xxhash64(F.lit("fingerprint"), "fp")
+    lists = staged(nodes.select("node", "n", F.explode(F.array_append("keys", fp)).alias("key")), "lists")
     sizes = staged(lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    short = lists.join(sizes.where(F.col("size") <= long_list), "key", "left_semi")
-    longer = staged(lists.join(sizes.where(F.col("size") > long_list), "key", "left_semi"), "longer")
-    first = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("f")).select("fp", F.col("f.node").alias("other"), F.col("f.n").alias("m"))
+    lists = staged(lists.join(sizes, "key").select("key", "node", "n", "size"), "several")
+    first = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("f")).select("fp", "f.node", "f.n")
     first = staged(first, "first")
-    same = nodes.join(first, "fp").where(F.col("node") != F.col("other")).select("node", "n", "other", "m")
-    close = simhash.links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("other").alias("node"), F.col("m").alias("n")), "a")
-    close = close.join(first.select(F.col("fp").alias("b"), "other", "m"), "b").select("node", "n", "other", "m")
-    by_bits = same.unionByName(close).where(_alike(F.col("n"), F.col("m"), similarity)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    by_bands = _met(short, short, similarity).where("node = a").select("a", "b")
-    pairs = staged(by_bits.unionByName(by_bands).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(longer.select("node")).distinct()
-    sets = staged(_sets(texts.join(asked, "node", "left_semi").select("node", "text"), shingle), "sets")
-    out = staged(_verified(pairs, sets, similarity), "links")
-    rest, leaders = longer, 16
-    while not rest.isEmpty():
-        elected = rest.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(leaders)).alias("seat"))
-        elected = staged(elected.agg(F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("l")).select("key", "l.node", "l.n"), "leaders")
-        met = staged(_met(longer, elected, similarity), "met")
-        found = staged(_verified(met.select("a", "b").distinct(), sets, similarity), "found")
-        out = out.unionByName(found)
-        settled = met.join(found, ["a", "b"]).select("key", "node").unionByName(elected.select("key", "node")).distinct()
-        rest, leaders = staged(rest.join(settled, ["key", "node"], "left_anti"), "rest"), leaders * 4
-    return out.distinct()
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, long_list: int = 256) -> DataFrame:
+    close = simhash.links(first.select("fp")).join(first.toDF("a", "node", "n"), "a").join(first.toDF("b", "other", "m"), "b").select("node", "n", "other", "m")
+    if lead:
+        weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
+        leader = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("l")
+        leaders = lists.join(weight, "node").groupBy("key").agg(leader).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"))
+        close = close.unionByName(lists.join(leaders, "key").select("node", "n", "other", "m"))
+    pairs = staged(_ordered(close, similarity), "pairs")
+    # only what meets anything is verified: its sets are written apart, once
+    asked = staged(lists.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "asked")
+    sets = staged(sets.join(F.broadcast(asked) if asked.count() <= MOST_SENT else asked, "node", "left_semi"), "sets")
+    edges = staged(_verified(pairs, sets, similarity), "links")
+    hung = components(edges).toDF("hung", "root")
+    members = lists.join(hung, F.col("node") == F.col("hung"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = staged(members.join(left, "key", "left_semi"), "left")
+    if left.isEmpty():
+        return hung.toDF("node", "root")
+    dealt = _in_chunks(left, most).join(sets, "node").select("key", "pair", "node", "root", "left", "right", "s")
+    found = dealt.groupBy("key", "pair").applyInArrow(lambda g: _compared(g, similarity), "a long, b long").distinct()
+    return components(edges.unionByName(staged(found, "found")))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lead: bool = True, most: int = 1000) -> DataFrame:
     """One row of each group of near copies of ``docs(doc_id, text, ...)``, in the columns of ``docs``: that with the
     smallest id, null ids last. Groups are the components of links of at least ``similarity`` between the sets of word
     shingles; fewer words than a shingle are one shingle, and texts without words are copies of each other."""
     small_batches(docs.sparkSession)
     (row,) = fresh(docs, "row_number")
     rows = numbered(docs, row)
-    texts = rows.select(F.col(row).alias("node"), "text")
-    own = staged(_profiles(texts, shingle), "profiles")
+    own = staged(_profiles(rows.select(F.col(row).alias("node"), "text"), shingle), "profiles")
     classes = staged(own.groupBy("digest").agg(F.min("node").alias("node")), "classes")
-    nodes = staged(own.join(classes.select("node"), "node", "left_semi").drop("digest"), "nodes")
-    hung = components(links(nodes.where("n > 0"), texts, similarity, shingle, long_list)).toDF("hung", "root")
+    nodes = staged(own.where("n > 0").drop("s", "digest").join(classes.select("node"), "node", "left_semi"), "nodes")
+    hung = groups(nodes, own.select("node", "s"), similarity, lead, most).toDF("hung", "root")
     rooted = classes.join(hung, F.col("node") == F.col("hung"), "left").select("digest", F.coalesce("root", "node").alias("root"))
     return one_of_each(rows, row, own.join(rooted, "digest").select("node", "root"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bidlake.llm import mixing, nearcopies, quality, simhash
+from bidlake.llm import mixing, nearcopies, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,19 +49,20 @@ def test_lines(kept):
 
 
 def test_near_copies(kept):
-    fps = {i: simhash.fingerprint(t) for i, t in zip(kept[2]["doc_id"], kept[2]["text"])}
-    up = {i: i for i in fps}
+    """Components of the links of similarity 0.8 or more between sets of five-word shingles, over all pairs of texts."""
+    sets = {i: set(nearcopies.shingle_set(t).tolist()) for i, t in zip(kept[2]["doc_id"], kept[2]["text"])}
+    up = {i: i for i in sets}
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for (a, x), (b, y) in itertools.combinations(fps.items(), 2):
-        if (x ^ y).bit_count() <= 2:
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x == y or (x and y and len(x & y) >= 0.8 * len(x | y)):
             low, high = sorted((root(a), root(b)))
             up[high] = low
-    assert sorted(kept[3]["doc_id"]) == sorted(i for i in fps if root(i) == i)
+    assert sorted(kept[3]["doc_id"]) == sorted(i for i in sets if root(i) == i)
 
 
 def test_mix(spark, kept):
@@ -125,9 +126,57 @@ def test_near_copies_from_similarity_080(spark, sf_dir):
 
 
 def test_near_copies_in_long_lists(spark):
-    """A large group of near copies in lists beyond the limit, and its neighbours, as without the limit."""
+    """A large group of near copies and its neighbours: with leaders as with all pairs that meet."""
     rng = np.random.default_rng(9)
     words = _near(rng, 0.9, 300)[0].split()
     rows = [(i, " ".join(words[: i % 30 + 2] + [f"v{i}"] + words[i % 30 + 3 :])) for i in range(120)] + [(500 + i, _near(rng, 0.9)[0]) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"] for r in nearcopies.keep_one(docs, long_list=20).collect()} == {0, *range(500, 510)}
+    for how in ({}, {"lead": False}, {"lead": False, "most": 7}, {"most": 7}):
+        assert {r["doc_id"] for r in nearcopies.keep_one(docs, **how).collect()} == {0, *range(500, 510)}
+
+
+def test_near_copies_in_chains(spark):
+    """Texts that drift: neighbours are similar, distant ones are not. One group as by brute force, however leaders fall."""
+    rng = np.random.default_rng(10)
+    words, rows = _near(rng, 0.9, 200)[0].split(), []
+    for i in range(60):
+        words[(i * 37) % 190 + 2] = f"y{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"lead": False, "most": 9}):
+        assert [r["doc_id"] for r in nearcopies.keep_one(docs, **how).collect()] == [0]
+
+
+def test_near_copies_below_the_similarity(spark):
+    """A group of which all pairs meet in lists but few are similar: components by brute force, in chunks and as a whole."""
+    rng = np.random.default_rng(11)
+    words, rows = _near(rng, 0.9, 300)[0].split(), []
+    for i in range(150):
+        own = list(words)
+        for at in rng.choice(290, int(rng.integers(2, 9)), replace=False):
+            own[at] = f"z{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(own)))
+    sets = [set(nearcopies.shingle_set(t).tolist()) for _, t in rows]
+    up = list(range(150))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = [(a, b) for a, b in itertools.combinations(range(150), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    want = {i for i in range(150) if root(i) == i}
+    assert 5 < len(want) and len(links) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"most": 20}):
+        assert {r["doc_id"] for r in nearcopies.keep_one(docs, **how).collect()} == want
+
+
+def test_shared_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.int32) for _ in range(20)]
+    got = nearcopies.shared_shingles(sets[:8], sets[8:], 7)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[8:]] for a in sets[:8]]
