@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bidlake.functions import numbers as fn
 from bidlake.functions import text as ft
 from bidlake.operators import evaluate, facts, mail
+from bidlake.operators.changes import written
 from bidlake.plans import adapters as a
 from bidlake.plans.sql import BASE, with_
 
@@ -57,6 +58,11 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.unionByName(lines).select(F.col("po_number").alias("doc_id"), "row_no", "raw")
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers' facts, written once for all that read them."""
+    return written(facts.source_facts(_rows(spark, sf_dir)), "facts")
+
+
 def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.source_facts(_rows(spark, sf_dir)).select("doc_id", "item", "field", "value")
 
@@ -66,9 +72,9 @@ def row_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("doc_id", "kind", "table_no").agg(F.count("*").alias("n"))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _model(found: DataFrame) -> DataFrame:
     """What a model might say: most values right, some scaled by ten, some invented."""
-    f = facts.unique_facts(facts.source_facts(_rows(spark, sf_dir))).where("doc_id % 25 <> 0 AND value is not null")
+    f = facts.unique_facts(found).where("doc_id % 25 <> 0 AND value is not null")
     k = F.pmod(F.col("doc_id") + F.col("item") * 3, F.lit(11))
     value = F.when((F.col("field") == "unit_price") & (k == 0), (F.col("value").cast("decimal(18,6)") * 10).cast("string")).otherwise(F.col("value"))
     said = f.select("doc_id", "item", "field", value.alias("value")).where(~((k == 5) & (F.col("field") == "quantity")))
@@ -77,14 +83,16 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = facts.gate(_model(spark, sf_dir), facts.source_facts(_rows(spark, sf_dir)))
+    found = _facts(spark, sf_dir)
+    g = facts.gate(_model(found), found)
     return g.groupBy("field", "decision", "change").agg(F.count("*").alias("n"))
 
 
 def focused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     instructed = rows.where(F.col("raw").rlike(facts.INSTRUCTION)).select("doc_id").distinct()
-    return facts.verification_requests(_model(spark, sf_dir), facts.source_facts(rows), instructed).select("doc_id", "item", "field", "model_value", "source_value")
+    found = _facts(spark, sf_dir)
+    return facts.verification_requests(_model(found), found, instructed).select("doc_id", "item", "field", "model_value", "source_value")
 
 
 def structure_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
