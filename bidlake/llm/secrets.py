@@ -59,8 +59,17 @@ def mixed_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[
     return out
 
 
-#: What a text with candidates holds at least; a cheap test in the JVM, so that all other rows pass through untouched.
-MAY_HOLD = r"(?i)passw|secret|token|api|[A-Za-z0-9+/_=-]{20}"
+#: A run of characters as long as all spans but assignments have at least.
+LONG_RUN = "[A-Za-z0-9+/_=-]{20}"
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether a text can hold a candidate; a cheap test in the JVM, so that all other rows pass through untouched."""
+    low = F.lower(text)
+    stems = [F.contains(low, F.lit(s)) for s in STEMS]
+    return F.coalesce(stems[0] | stems[1] | stems[2] | stems[3] | text.rlike(LONG_RUN), F.lit(False))
+
+
 _SPANS = "array<struct<start:long,kind:int,end:long,h:string>>"
 
 
@@ -97,7 +106,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     small_batches(docs.sparkSession)
     names = [*(f"n_{k}" for k in KINDS[:3]), "n_live", "n_example", "base_sha256", "spans", "verdicts"]
     *new, found, row = fresh(docs, *names, "found", "row_number")
-    may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    may = _may_hold(F.col("text"))
     some = numbered(docs.where(may).withColumn(found, _candidates(F.col("text"))), row)
     where = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((repository, "repo"), (owner, "owner"))]
     hits = some.select(F.col(row).alias("k"), *where, F.explode(found).alias("s"))
