@@ -4,7 +4,8 @@ Every document has a fixed 60-bit hash of its id. A budget of a source is met by
 below a threshold, so a larger budget always takes a superset of a smaller one and nothing has to be sorted. The
 thresholds come from histograms: sizes are summed by source and hash bucket, the running sum over the (at most 4096)
 buckets of a source shows in which one the budget ends, and only that bucket is split again, five times, down to
-single hashes. Partial aggregation keeps a hot source from being one task's work: a source is 4096 rows after it.
+single hashes. Partial aggregation keeps a hot source from being one task's work: a source is 4096 rows after it, of which
+running sums see 64 at a time.
 """
 
 from __future__ import annotations
@@ -55,10 +56,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, most_times
     )
 
 
+def _crossed(sums: DataFrame, unit: str) -> DataFrame:
+    """Of ``sums(source, budget, below, <unit>, n)`` the first unit of each budget whose running sum, on top of ``below``, exceeds it:
+    ``source, budget, <unit>, below``, with what lies below that unit. Budgets that are never exceeded have no row."""
+    w = Window.partitionBy("source", "budget").orderBy(unit)
+    run = sums.withColumn("upto", F.col("below") + F.sum("n").over(w)).where("upto > budget")
+    first = run.groupBy("source", "budget").agg(F.min(F.struct(unit, (F.col("upto") - F.col("n")).alias("below"))).alias("x"))
+    return first.select("source", "budget", f"x.{unit}", "x.below")
+
+
 def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     """For ``docs(source, h, size)`` and ``budgets(source, budget)`` (several a source: nested), the largest hash up
-    to which a source's sizes sum to at most the budget: rows ``(source, budget, threshold)``, -1 if none fits."""
+    to which a source's sizes sum to at most the budget: rows ``(source, budget, threshold)``, -1 if none fits.
+
+    The buckets of a histogram are summed in 64 groups first, so that a running sum is over 64 rows, never over 4096."""
     state = budgets.select("source", "budget", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
+    half = STEP_BITS // 2
     for step in range(HASH_BITS // STEP_BITS):
         shift = HASH_BITS - STEP_BITS * (step + 1)
         d, b = docs.select("source", "size", F.shiftright("h", shift).alias("bucket")).alias("d"), state.alias("b")
@@ -66,14 +79,15 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
         if step:
             inside &= F.shiftright("d.bucket", STEP_BITS) == F.col("b.prefix")
         hist = d.join(b, inside).groupBy("b.source", "b.budget", "b.below", "d.bucket").agg(F.sum("d.size").alias("n"))
-        w = Window.partitionBy("source", "budget").orderBy("bucket")
-        run = hist.withColumn("upto", F.col("below") + F.sum("n").over(w))
+        hist = staged(hist, "histogram").withColumn("part", F.shiftright("bucket", half))
+        part = _crossed(hist.groupBy("source", "budget", "below", "part").agg(F.sum("n").alias("n")), "part").alias("p")
         # the first bucket that ends above the budget is split next; a source that ends within its budget keeps everything
-        over = run.where("upto > budget").groupBy("source", "budget").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"))).alias("x"))
-        s = state.select("source", "budget").alias("s")
+        within = hist.alias("h").join(part, F.col("h.source").eqNullSafe(F.col("p.source")) & (F.col("h.budget") == F.col("p.budget")) & (F.col("h.part") == F.col("p.part")))
+        over = _crossed(within.select("h.source", "h.budget", "p.below", "h.bucket", "h.n"), "bucket")
+        s, o = state.select("source", "budget").alias("s"), over.alias("o")
         state = (
-            s.join(over.alias("o"), F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.budget") == F.col("o.budget")), "left")
-            .select("s.source", "s.budget", F.col("o.x.below").alias("below"), F.coalesce(F.col("o.x.bucket"), F.lit(1).cast("long") * (1 << (HASH_BITS - shift)) - 1).alias("prefix"), F.col("o.x").isNull().alias("all"))
+            s.join(o, F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.budget") == F.col("o.budget")), "left")
+            .select("s.source", "s.budget", F.col("o.below"), F.coalesce(F.col("o.bucket"), F.lit(1).cast("long") * (1 << (HASH_BITS - shift)) - 1).alias("prefix"), F.col("o.bucket").isNull().alias("all"))
         )
         state = staged(state.withColumn("below", F.coalesce("below", F.lit(0).cast("long"))), "state")
     return state.select("source", "budget", F.when(F.col("all"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
