@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Row numbers up to which a list of them is broadcast (8 bytes each); beyond, Spark joins them.
+MOST_SENT = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +41,22 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
 
 
 def one_of_each(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
-    """Of ``rows``, numbered by ``row``, one row of each group of ``groups(row, group)``: the one with the smallest id (null
-    after all others), among equal ids that with the least hash of all columns. Rows alike in all columns are told apart
-    by number. The number is dropped."""
+    """Of ``rows``, numbered by ``row``, one row of each group of ``groups(row, group)``, which has all rows: the one with the smallest id
+    (null after all others), among equal ids that with the least hash of all columns. Rows alike in all columns are told apart
+    by number. The number is dropped.
+
+    Up to ``MOST_SENT`` numbers of rows that go are broadcast, so that the others stay where they are; beyond, Spark joins."""
     columns = [F.col(f"`{c}`") for c in rows.columns if c != row]
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*columns), F.col(row).alias("chosen")).alias("rank")
-    best = groups.toDF("at", "group").join(rows.select(F.col(row).alias("at"), rank), "at").groupBy("group").agg(F.min("rank").alias("rank"))
-    return rows.join(best.select("rank.chosen"), F.col(row) == F.col("chosen"), "left_semi").select(*columns)
+    (out,) = fresh(rows, "gone")
+    several = groups.toDF("at", "group")
+    several = several.join(several.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("at").alias("chosen")).alias("rank")
+    known = rows.select(F.col(row).alias("at"), "doc_id", F.xxhash64(*columns).alias("hash"))
+    ranked = staged(several.join(known, "at").select("at", "group", rank), "ranked")
+    best = ranked.groupBy("group").agg(F.min("rank").alias("best"))
+    gone = staged(ranked.join(best, "group").where("at <> best.chosen").select(F.col("at").alias(out)), "gone")
+    small = gone.count() <= MOST_SENT
+    return rows.join(F.broadcast(gone) if small else gone, F.col(row) == F.col(out), "left_anti").select(*columns)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

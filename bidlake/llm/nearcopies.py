@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.llm import simhash
-from bidlake.llm.common import fresh, numbered, one_of_each, small_batches, staged
+from bidlake.llm.common import MOST_SENT, fresh, numbered, one_of_each, small_batches, staged
 from bidlake.llm.graph import components
 
 BANDS, ROWS = 20, 5
-#: Ids of nodes up to which a list of them is broadcast (8 bytes each); beyond, Spark joins them.
-MOST_SENT = 2_000_000
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
