@@ -25,7 +25,9 @@ from bidlake.llm.common import fresh, small_batches, staged
 
 #: Distinct words of which a worker keeps the ids, the most characters of such a word, and the word that separates words in
 #: one call of the tokenizer.
-KEPT_WORDS, KEPT_CHARS, MARK = 250_000, 40, "\x00"
+KEPT_WORDS, KEPT_CHARS, MARK = 400_000, 40, "\x00"
+#: Marks that a pre-tokenizer may cut off behind letters.
+TAIL = ".,;:!?#$%&*"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -33,7 +35,8 @@ class WordTokenizer:
     """A tokenizer that lower-cases, whose pre-tokenizer never joins what ASCII white space separates and that drops
     white space: a text's ids are then its words' ids, one after the other, so each distinct word needs to be encoded
     once. Texts of Latin-1 are composed as they are, and lower-casing them is the same everywhere; their words skip the
-    tokenizer's normaliser."""
+    tokenizer's normaliser. Where the pre-tokenizer cuts marks off behind letters, which is looked up for each mark, letters and
+    marks are encoded apart, so that a word is encoded once whatever follows it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +45,8 @@ class WordTokenizer:
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
+        pieces = [self.tokenizer.pre_tokenizer.pre_tokenize_str(f"ab{c}{TAIL}") for c in TAIL] if self.tokenizer.pre_tokenizer else []
+        self.cuts = bool(pieces) and all(len(p) == 2 and p[0][0] == "ab" for p in pieces)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     @classmethod
@@ -52,6 +57,20 @@ class WordTokenizer:
 
     def encode(self, words: list[str], step: int = 20_000) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
+        if self.cuts:
+            cut = {}
+            for w in words:
+                core = w.rstrip(TAIL)
+                if len(core) < len(w) and core.isalpha() and _latin(core):
+                    cut[w] = core
+            if cut:
+                parts = {*cut.values(), *(w[len(core) :] for w, core in cut.items())}
+                ids = {w: self.known[w] for w in parts if w in self.known}
+                ids |= self._encoded([w for w in {*parts, *words} if w not in cut and w not in ids], step)
+                return {w: ids[cut[w]] + ids[w[len(cut[w]) :]] if w in cut else ids[w] for w in words}
+        return self._encoded(words, step)
+
+    def _encoded(self, words: list[str], step: int) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         sides: tuple[list[str], list[str], list[str]] = ([], [], [])
         for w in words:
