@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import ann, chat, linedup, mixing, packing, quality, secrets, simhash, urls, vectors
+from bidlake.llm import ann, chat, exactdedup, filteraudit, linedup, mixing, packing, quality, secrets, simhash, urls, vectors
 from bidlake.llm.common import n_words, read, staged
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -16,6 +16,8 @@ LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spa
 LISTED = r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"
 MARKED_TITLE, MARKED_PAGES = r"<title>[^<]*([*#%]{3}|(&amp;){3})", 20
 OWN_CONVERSATION = [(-7, 0, "user"), (-7, 1, "assistant")]
+#: The audited filters' letters and columns.
+AUDITED = (("A", "few_words"), ("B", "few_distinct"), ("C", "capitals"), ("D", "marks"), ("E", "repeated"))
 OWN_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -70,13 +72,22 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filteraudit.text_failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return filteraudit.audit(failed, AUDITED)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_simhash, op4_quality, op5_url_filter, op6_secret_scan, op7_embedding_dedup, op8_chat_format, op9_line_dedup, op10_cross_polytope, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_simhash, op4_quality, op5_url_filter, op6_secret_scan, op7_embedding_dedup, op8_chat_format, op9_line_dedup, op10_cross_polytope, op11_exact_dedup, op13_filter_audit, pipeline)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,6 +169,46 @@ SELECT min(doc_id) AS doc_id, count(*) AS n_lines, sum(dropped)::BIGINT AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE dropped = 0), '')) AS kept_sha256
 FROM m GROUP BY row"""
 
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+AUDIT_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words
+  FROM documents),
+f AS (
+  SELECT doc_id, part, (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+         (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e
+  FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT [p.letter, q.letter, r.letter, s.letter, u.letter] AS names, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+  FROM x p, x q, x r, x s, x u
+  WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31 AND p.bit | q.bit | r.bit | s.bit | u.bit = 31),
+st AS (
+  SELECT array_to_string(names, '') AS filter_order, k::INT AS step, names[k] AS letter, bits[k] AS bit,
+         coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+y AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM cells, st GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM y"""
+
 #: Fingerprints, learned scores, token ids, span positions and approximate searches have no SQL: tests hold them
 #: against brute force.
-SQL = {"op1_mix_sources": MIX_SQL, "op5_url_filter": URL_SQL, "op8_chat_format": CHAT_SQL, "op9_line_dedup": LINES_SQL}
+SQL = {"op1_mix_sources": MIX_SQL, "op5_url_filter": URL_SQL, "op8_chat_format": CHAT_SQL, "op9_line_dedup": LINES_SQL, "op11_exact_dedup": EXACT_SQL, "op13_filter_audit": AUDIT_SQL}
