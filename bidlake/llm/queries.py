@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import ann, chat, exactdedup, filteraudit, linedup, mixing, packing, quality, secrets, simhash, urls, vectors
+from bidlake.llm import ann, chat, crosstok, exactdedup, filteraudit, linedup, mixing, packing, quality, secrets, simhash, urls, vectors
 from bidlake.llm.common import n_words, read, staged
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -76,6 +76,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstok.compare(crosstok.align(read(spark, sf_dir, "documents"), *paths))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = filteraudit.text_failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return filteraudit.audit(failed, AUDITED)
@@ -87,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_simhash, op4_quality, op5_url_filter, op6_secret_scan, op7_embedding_dedup, op8_chat_format, op9_line_dedup, op10_cross_polytope, op11_exact_dedup, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_simhash, op4_quality, op5_url_filter, op6_secret_scan, op7_embedding_dedup, op8_chat_format, op9_line_dedup, op10_cross_polytope, op11_exact_dedup, op12_cross_tokenizer, op13_filter_audit, pipeline)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
