@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from bidlake.functions.text import GENERIC_DOMAINS, email_domain, norm_email, norm_key, norm_supplier, rfq_token
+from bidlake.operators.changes import written
 
 ORG = "organization_id"
 
@@ -124,32 +125,95 @@ def _grams(df: DataFrame, n: int = 3) -> DataFrame:
     return df.select(ORG, "k", F.explode(grams).alias("g"))
 
 
-def similar(left: DataFrame, right: DataFrame, top: int = 3, score=None, group: str | None = None) -> DataFrame:
-    """The ``top`` right rows for each left row by similarity of the normalised text: ``left(organization_id, left_id, text)``,
-    ``right(organization_id, right_id, text)``, ties to smaller ids. Only texts that share three characters in a row are compared, and
-    each distinct pair of texts once. ``score`` takes the two texts' columns; the default is the ratio, to 2 decimals. With ``group`` a right id
-    counts once, by its best text."""
-    a = left.select(ORG, "left_id", norm_key(F.col("text")).alias("k"))
-    b = right.select(ORG, "right_id", norm_key(F.col("text")).alias("k")).distinct()
-    met = _grams(a.select(ORG, "k").distinct()).withColumnRenamed("k", "ka").join(_grams(b.select(ORG, "k").distinct()).withColumnRenamed("k", "kb"), [ORG, "g"]).select(ORG, "ka", "kb").distinct()
-    value = score(F.col("ka"), F.col("kb")) if score else F.round(similarity("ka", "kb"), 2)
+def signatures(texts: DataFrame, order: DataFrame, least: float) -> DataFrame:
+    """``organization_id, k, n, gram`` for distinct ``texts(organization_id, k)`` of length ``n``: the rarest pairs of characters of each text,
+    as many as it takes that two texts of a ratio of ``least`` or more share one. ``order(gram, df)`` says how many texts have a pair.
+
+    Texts of lengths a and b with that ratio share m >= least * (a + b) / 2 characters in order. Each other character breaks up to two
+    of the pairs of its own text, and one of the other's, so at least 3m - a - b - 1 pairs are in both, repeats counted; and the other's
+    length is within a * least / (2 - least) and its inverse. Of g pairs of which o are shared, any g - o + 1 hold a shared one, and both
+    texts take their rarest. Where texts are so short that no pair need be shared, single characters are taken, of which m are."""
+    n, low = F.length("k"), F.ceil(F.length("k") * least / (2 - least) - 1e-9)
+    both = n + low
+    numbered = lambda g: F.transform(F.array_sort(g), lambda x, i: F.concat(x, F.lit("#"), i + 2 - F.array_position(F.array_sort(g), x)))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring("k", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    single = F.when(n > 0, F.split("k", "")).otherwise(F.array(F.lit("")))
+    shared = F.greatest(F.ceil((1.5 * least - 1) * both - 1 - 1e-9), F.lit(1))
+    kinds = F.array(
+        F.struct(numbered(pairs).alias("grams"), (F.greatest(n - 1, F.lit(0)) - shared + 1).alias("take")),
+        F.struct(numbered(single).alias("grams"), F.when((1.5 * least - 1) * both - 1 < 1 + 1e-9, F.greatest(n - F.ceil(least * both / 2 - 1e-9) + 1, F.lit(1))).otherwise(0).alias("take")),
+    )
+    each = texts.select(ORG, "k", n.alias("n"), F.posexplode(kinds).alias("kind", "own")).select(ORG, "k", "n", "kind", "own.take", F.explode("own.grams").alias("gram"))
+    ranked = each.where("take > 0").join(F.broadcast(order), "gram", "left")
+    place = F.row_number().over(Window.partitionBy(ORG, "k", "kind").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    return ranked.withColumn("place", place).where("place <= take").select(ORG, "k", "n", "gram")
+
+
+def rarity(*texts: DataFrame) -> DataFrame:
+    """``gram, df``: in how many ``texts(organization_id, k)`` each numbered pair of characters and character is. Normalised keys are of letters a-z,
+    digits and spaces, so there are at most 1,406 of them for each repetition within a text."""
+    every = reduce(DataFrame.unionByName, (t.select("k") for t in texts))
+    n = F.length("k")
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring("k", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_sort(F.concat(pairs, F.split("k", "")))
+    numbered = F.transform(grams, lambda x, i: F.concat(x, F.lit("#"), i + 2 - F.array_position(grams, x)))
+    return every.select(F.explode(numbered).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Distinct ``organization_id, ka, kb`` of distinct texts ``(organization_id, k)``: all pairs of a ratio of ``least`` or more and some others,
+    that share a rare pair of characters and whose lengths allow the ratio."""
+    if least <= 2 / 3:
+        raise ValueError("texts of such a ratio need not share a pair of characters")
+    order = rarity(left, right)
+    a, b = (signatures(t, order, least).withColumnsRenamed({"k": f"k{x}", "n": f"n{x}"}) for t, x in ((left, "a"), (right, "b")))
+    ratio = F.least("na", "nb") * 2 >= (F.col("na") + F.col("nb")) * least - 1e-9
+    return a.join(b, [ORG, "gram"]).where(ratio).select(ORG, "ka", "kb").distinct()
+
+
+#: From this ratio on possible matches are found by their rare pairs of characters.
+CLOSE = 0.775
+
+
+def similar(left: DataFrame, right: DataFrame, top: int = 3, score=None, group: str | None = None, least: float | None = None, key=norm_key) -> DataFrame:
+    """The ``top`` right rows for each left row by similarity of the text normalised by ``key``: ``left(organization_id, left_id, text)``,
+    ``right(organization_id, right_id, text)``, ties to smaller ids. Each distinct pair of texts is compared once. ``score`` takes the two
+    texts' columns; the default is the ratio, without ``least`` to 2 decimals. With ``group`` a right id counts once, by its best text.
+
+    With ``least``, above 2/3, only ratios from it on count, and texts meet by their rarest pairs of characters (``close_pairs``). Without it
+    texts that share three characters in a row are compared; by ratio, only those for which the rare pairs did not find ``top`` rows
+    of a score that all others stay below."""
+    a = left.select(ORG, "left_id", key(F.col("text")).alias("k"))
+    b = right.select(ORG, "right_id", key(F.col("text")).alias("k")).distinct()
+    asked, known = a.select(ORG, "k").distinct(), b.select(ORG, "k").distinct()
     ids = b.withColumn("r", F.row_number().over(Window.partitionBy(ORG, "k").orderBy("right_id"))).where(F.col("r") <= top).drop("r")  # more rows of one text cannot be among the top
-    each = met.withColumn("score", value).join(ids.withColumnRenamed("k", "kb"), [ORG, "kb"])
-    if group:
-        each = each.groupBy(ORG, "ka", group).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(ORG, "ka").orderBy(F.col("score").desc(), "right_id"))
-    best = each.withColumn("rank", rank).where(F.col("rank") <= top)
+
+    def ranked(met: DataFrame) -> DataFrame:
+        value = score(F.col("ka"), F.col("kb")) if score else similarity("ka", "kb")
+        each = met.withColumn("score", value if score or least else F.round(value, 2)).join(ids.withColumnRenamed("k", "kb"), [ORG, "kb"])
+        if group:
+            each = each.groupBy(ORG, "ka", group).agg(F.max("score").alias("score"))
+        return each.withColumn("rank", rank).where(F.col("rank") <= top).select(ORG, "ka", "right_id", "score", "rank")
+
+    def sharing(texts: DataFrame) -> DataFrame:
+        return _grams(texts).withColumnRenamed("k", "ka").join(_grams(known).withColumnRenamed("k", "kb"), [ORG, "g"]).select(ORG, "ka", "kb").distinct()
+
+    if least is not None:
+        best = ranked(close_pairs(asked, known, least)).where(F.col("score") >= least)
+    elif score:
+        best = ranked(sharing(asked))
+    else:
+        found = written(ranked(close_pairs(asked, known, CLOSE)), "close")
+        settled = found.where((F.col("rank") == top) & (F.col("score") >= round(CLOSE + 0.005, 3))).select(ORG, F.col("ka").alias("k"))
+        best = found.join(settled.withColumnRenamed("k", "ka"), [ORG, "ka"], "left_semi").unionByName(ranked(sharing(asked.join(settled, [ORG, "k"], "left_anti"))))
     return a.withColumnRenamed("k", "ka").join(best, [ORG, "ka"]).select(ORG, "left_id", "right_id", "score", "rank")
 
 
 def possible_suppliers(unmatched: DataFrame, suppliers: DataFrame, least: float = 0.78) -> DataFrame:
-    """Of ``unmatched(organization_id, left_id, text)`` up to three suppliers of a similar name or alias; the threshold is applied after
-    taking the best three."""
+    """Of ``unmatched(organization_id, left_id, text)`` up to three suppliers of a name or alias with a ratio of ``least`` or more."""
     names = suppliers.select(ORG, F.col("supplier_id").alias("right_id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array()))).alias("text"))
-    # a supplier counts by its best name, however many it has: names are ranked as texts of their own, then reduced to suppliers
-    best = similar(unmatched, names, 3, group="right_id").groupBy(ORG, "left_id", "right_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(ORG, "left_id").orderBy(F.col("score").desc(), "right_id"))
-    return best.withColumn("rank", rank).where((F.col("rank") <= 3) & (F.col("score") >= least))
+    return similar(unmatched, names, 3, group="right_id", least=least, key=norm_supplier)
 
 
 def sender_role(emails: DataFrame, users: DataFrame) -> DataFrame:

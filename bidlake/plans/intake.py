@@ -253,9 +253,14 @@ def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = a.suppliers(spark, sf_dir)
-    asked = s.where("supplier_id % 10 = 3").select(ORG, F.col("supplier_id").alias("left_id"), F.concat(F.lit("S"), "supplier_id", F.lit(" Ltd.")).alias("text"))
-    return matching.possible_suppliers(asked, s).where("rank = 1").select(F.col("left_id").alias("asked"), F.col("right_id").alias("supplier_id"), "score")
+    """All suppliers, asked for by their alias or by their name with a letter before it and, for every third, one less behind."""
+    s, k = a.suppliers(spark, sf_dir), F.col("supplier_id")
+    spelled = lambda at: F.sha2(k.cast("string"), 256).substr(at, 12)
+    known = s.select(ORG, "supplier_id", F.concat(spelled(1), F.lit(" Corp")).alias("name"), F.array(spelled(21)).alias("aliases"))
+    wrong = F.concat(F.lit("x"), F.when(k % 3 == 1, spelled(1)).otherwise(spelled(1).substr(1, 11)), F.lit(" Ltd."))
+    asked = s.select(ORG, k.alias("left_id"), F.when(k % 3 == 0, spelled(21)).otherwise(wrong).alias("text"))
+    found = matching.possible_suppliers(asked, known)
+    return found.select(F.col("left_id").alias("asked"), F.col("right_id").alias("supplier_id"), F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES = [
@@ -376,5 +381,5 @@ c AS (
 o AS (SELECT supplier_id, po_number, min(date) AS date, count(*) AS lines FROM v_base GROUP BY ALL)""",
         "SELECT supplier_id, po_number, lines FROM o QUALIFY row_number() OVER (PARTITION BY supplier_id ORDER BY date DESC, po_number DESC) = 1",
     ),
-    "similar_suppliers": "SELECT s_suppkey AS asked, s_suppkey AS supplier_id, 1.0::DOUBLE AS score FROM supplier WHERE s_suppkey % 10 = 3",
+    "similar_suppliers": "SELECT s_suppkey AS asked, s_suppkey AS supplier_id, CASE s_suppkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.96 ELSE round(22 / 24, 6) END::DOUBLE AS score, 1 AS rank FROM supplier",
 }
