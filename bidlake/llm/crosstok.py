@@ -24,59 +24,83 @@ from pyspark.sql import functions as F
 from bidlake.llm.common import small_batches, staged
 
 #: Distinct units of which a worker keeps the ids, and the most characters of such a unit.
-KEPT_UNITS, KEPT_CHARS = 500_000, 40
+KEPT_UNITS, KEPT_CHARS = 250_000, 40
+#: Units that are encoded in one call of a tokenizer, as one text.
+JOINED = 200
 #: Characters of the texts merged at once, and tokens after which a long document gets another place in the state vector.
 BATCH_CHARS, STRETCH = 1_500_000, 256
 #: Pairs of ids that are broadcast with their counts: at most so many, 17 bytes each.
 MOST_PAIRS = 500_000
 #: Unicode's white space, as the byte-level tokenizer's pattern means it; the sign that pieces have for a space.
-_SPACE, _PIECE_SPACE = r"\t-\r \x85\xa0  -     　", "▁"
+_OTHER_SPACE, _PIECE_SPACE = r"\t\x0b-\r\x85\xa0  -     　", "▁"
+_SPACE = rf" \n{_OTHER_SPACE}"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _encoders: dict = {}
 
 
+#: From a space or a line end behind other characters to the next one.
+_UNIT = re.compile(rf"[ \n][{_SPACE}]*[^{_SPACE}]*(?:[{_OTHER_SPACE}][{_SPACE}]*[^{_SPACE}]*)*")
+
+
 class UnitEncoder:
-    """Encodes texts unit by unit, each distinct unit once. Units are cut where no token of the tokenizer reaches over."""
+    """Encodes texts unit by unit, each distinct unit once. A unit is white space that starts with a space or a line end, and what follows
+    it; neither tokenizer has tokens that reach over its end, and what it becomes does not depend on the units around it."""
+
+    #: What stands before a text that is encoded, and how many ids that and the tokenizer's own signs make.
+    lead, lead_ids = "", 0
 
     def __init__(self, tables: list[bytes]):
         self.tables, self.sizes = tables, np.array([len(x) for x in tables], dtype=np.int64)
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
-    def units(self, text: str) -> list[str]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts as they are."""
         raise NotImplementedError
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of a space and each text; none where the tokens' bytes are not the text's."""
-        split = [self.units(f" {x}") for x in texts]
-        known, odd = self.known, self.odd
-        new = list({u for units in split for u in units if u not in known})
-        room = KEPT_UNITS - len(known)
-        for u, ids in zip(new, self.encode(new), strict=True):
-            known[u] = np.array(ids, dtype="<u4").tobytes()
-            if b"".join([self.tables[i] for i in ids]) != u.encode():
-                odd.add(u)
-        out = []
-        for text, units in zip(texts, split, strict=True):
-            ids = b"".join(map(known.__getitem__, units))
-            if odd and not odd.isdisjoint(units) and b"".join([self.tables[i] for i in np.frombuffer(ids, "<u4")]) != f" {text}".encode():
-                ids = b""
-            out.append(ids)
-        for i, u in enumerate(new):
-            if i >= room or len(u) > KEPT_CHARS:
-                del known[u]
-                odd.discard(u)
-        return out
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tables.__getitem__, ids.tolist()))
+
+    def learn(self, units: list[str]) -> None:
+        """Encode new units. Those that end with no white space are joined to texts, whose ids are told apart by the bytes that they
+        stand for; the others, and all of a text whose tokens stand for other bytes, are encoded alone."""
+        joinable = [u for u in units if not u[-1].isspace()]
+        parts = [joinable[lo : lo + JOINED] for lo in range(0, len(joinable), JOINED)]
+        texts = ["".join(p) for p in parts]
+        alone = [u for u in units if u[-1].isspace()]
+        for p, text, own in zip(parts, texts, self.encode([self.lead + t for t in texts]), strict=True):
+            ids, raw = np.array(own[self.lead_ids :], dtype="<u4"), text.encode()
+            if self.bytes_of(ids) != raw:
+                alone += p
+                continue
+            sizes = [len(u) for u in p] if len(raw) == len(text) else [len(u.encode()) for u in p]
+            stops = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1) * 4
+            known, flat, at = self.known, ids.tobytes(), 0
+            for u, stop in zip(p, stops.tolist(), strict=True):
+                known[u] = flat[at:stop]
+                at = stop
+        for u, own in zip(alone, self.encode([self.lead + u for u in alone]), strict=True):
+            ids = np.array(own[self.lead_ids :], dtype="<u4")
+            self.known[u] = ids.tobytes()
+            if self.bytes_of(ids) != u.encode():
+                self.odd.add(u)
+
+    def ids_of(self, text: str, units: list[str]) -> bytes:
+        """Little-endian 32-bit ids of a text's units; none where the tokens' bytes are not the text's."""
+        ids = b"".join(map(self.known.__getitem__, units))
+        if self.odd and not self.odd.isdisjoint(units) and self.bytes_of(np.frombuffer(ids, "<u4")) != text.encode():
+            return b""
+        return ids
+
+    def forget(self, units: list[str]) -> None:
+        for u in units:
+            del self.known[u]
+            self.odd.discard(u)
 
 
 class ByteLevel(UnitEncoder):
     """A byte-level tokenizer whose pattern takes runs of letters, digits or marks with at most one space before them, and white
-    space that no such run takes: a run without white space is then encoded alike wherever it stands."""
-
-    _UNIT = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+    space that no such run takes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,35 +115,29 @@ class ByteLevel(UnitEncoder):
         entries = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         super().__init__([bytes(byte_of[c] for c in e) if all(c in byte_of for c in e) else e.encode() for e in entries])
 
-    def units(self, text: str) -> list[str]:
-        return self._UNIT.findall(text)
-
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces(UnitEncoder):
-    """A piece tokenizer that puts a space before a text. No piece holds a space behind another character or a line end
-    beside any, so runs from a space or a line end to the next are encoded alike wherever they stand."""
+    """A piece tokenizer that puts a space before a text. No piece holds a line end beside another character, or a space behind
+    one."""
 
-    _UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
+    # the model puts a space before a text; a line end keeps it apart from the first unit
+    lead, lead_ids = "\n", 2
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         entries = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(_PIECE_SPACE in e.lstrip(_PIECE_SPACE) or "\n" in e for e in entries):
+        if any(len(e) > 1 and re.search(f"[ \n{_PIECE_SPACE}]", e.lstrip(_PIECE_SPACE)) for e in entries):
             raise ValueError("pieces reach over spaces or line ends: texts can't be cut there")
         byte = [_BYTE_PIECE.fullmatch(e) for e in entries]
         super().__init__([bytes([int(b[1], 16)]) if b else e.replace(_PIECE_SPACE, " ").encode() for e, b in zip(entries, byte, strict=True)])
 
-    def units(self, text: str) -> list[str]:
-        return self._UNIT.findall(text)
-
-    def encode(self, units: list[str]) -> list[list[int]]:
-        # the model's own space and a line end stand before each unit; their ids go
-        return [ids[2:] for ids in self.model.encode([f"\n{u}" for u in units], num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def encoder(kind: type[UnitEncoder], path: str) -> UnitEncoder:
@@ -128,6 +146,21 @@ def encoder(kind: type[UnitEncoder], path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def encoded(texts: list[str], a: UnitEncoder, b: UnitEncoder) -> tuple[list[bytes], list[bytes]]:
+    """Ids of a space and each text by both tokenizers; none for empty texts and where either's bytes are not the text's."""
+    spaced = [f" {t}" if t else "" for t in texts]
+    split = [_UNIT.findall(t) for t in spaced]
+    new = list(set().union(*split).difference(a.known))
+    room = max(KEPT_UNITS - len(a.known), 0)
+    for side in (a, b):
+        side.learn(new)
+    both = [(x, y) if (x := a.ids_of(t, units)) and (y := b.ids_of(t, units)) else (b"", b"") for t, units in zip(spaced, split, strict=True)]
+    passing = new[room:] + [u for u in new[:room] if len(u) > KEPT_CHARS]
+    for side in (a, b):
+        side.forget(passing)
+    return [x for x, _ in both], [y for _, y in both]
+
+
 def places(ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """Where merges begin: at documents' starts, and every ``stretch`` tokens or so behind the next common end."""
     n = np.diff(np.append(starts_a, len(ends_a)))
@@ -204,8 +237,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 while hi < len(texts) and chars + len(texts[hi]) <= BATCH_CHARS:
                     chars += len(texts[hi])
                     hi += 1
-                pairs = [(x, y) if t and x and y else (b"", b"") for t, x, y in zip(texts[lo:hi], a.texts(texts[lo:hi]), b.texts(texts[lo:hi]), strict=True)]
-                columns = aligned([x for x, _ in pairs], [y for _, y in pairs], a, b)
+                columns = aligned(*encoded(texts[lo:hi], a, b), a, b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", *ALIGNED])
                 lo = hi
 
@@ -220,22 +252,16 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class GroupText:
-    """Groups written as ``a1,a2|b1;a3|b2,b3``: each token is a row of digits and the mark behind it."""
+    """Groups written as ``a1,a2|b1;a3|b2,b3``: each token is its digits and the mark behind it."""
 
     def __init__(self) -> None:
-        self.rows = np.zeros((0, 4, 1), dtype=np.uint8)
-
-    def _upto(self, most: int) -> None:
-        if most >= len(self.rows):
-            n = max(2 * len(self.rows), most + 1)
-            own = np.array([f"{i}{m}" for i in range(n) for m in ",|,;"], dtype="S")
-            self.rows = np.frombuffer(own.tobytes(), dtype=np.uint8).reshape(n, 4, -1)
+        self.words: list[bytes] = []
 
     def digests(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, cuts: np.ndarray) -> list[str]:
         """SHA-256 of each document's groups; the empty string without tokens. ``cut_*`` count tokens within documents."""
         if not len(a):
             return [""] * len(n_a)
-        self._upto(int(max(a.max(), b.max())))
+        self.words += [f"{i}{m}".encode() for i in range(len(self.words) // 4, int(max(a.max(), b.max())) + 1) for m in ",|,;"]
         own = np.repeat(np.arange(len(cuts)), cuts)
         end_a, end_b = cut_a + (np.cumsum(n_a) - n_a)[own], cut_b + (np.cumsum(n_b) - n_b)[own]
         mark_a, mark_b = np.zeros(len(a), dtype=np.int64), np.full(len(b), 2)
@@ -243,11 +269,13 @@ class GroupText:
         # the tokens of the other side that stand before a token are those of the groups before it, or up to its own
         at_a = np.arange(len(a)) + np.concatenate([[0], end_b[:-1]]).repeat(np.diff(end_a, prepend=0))
         at_b = np.arange(len(b)) + end_a.repeat(np.diff(end_b, prepend=0))
-        laid = np.empty((len(a) + len(b), self.rows.shape[2]), dtype=np.uint8)
-        laid[at_a], laid[at_b] = self.rows[a, mark_a], self.rows[b, mark_b]
-        used = laid != 0
-        body, ends = laid[used].tobytes(), np.concatenate([[0], np.cumsum(used.sum(axis=1))])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
-        return [hashlib.sha256(body[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        laid = np.empty(len(a) + len(b), dtype=np.int64)
+        laid[at_a], laid[at_b] = 4 * a + mark_a, 4 * b + mark_b
+        out, at, word = [], 0, self.words.__getitem__
+        for end in np.cumsum(n_a + n_b).tolist():
+            out.append(hashlib.sha256(b"".join(map(word, laid[at:end].tolist()))[:-1]).hexdigest() if end > at else "")
+            at = end
+        return out
 
 
 def summaries(alignments: DataFrame) -> DataFrame:
@@ -262,12 +290,15 @@ def summaries(alignments: DataFrame) -> DataFrame:
                 continue
             (a, n_a), (b, n_b), (i, links), (j, _), (cut_a, cuts), (cut_b, _) = map(_flat, batch.columns[1:])
             doc = np.repeat(np.arange(n), links)
-            keys = a[i + (np.cumsum(n_a) - n_a)[doc]] << 32 | b[j + (np.cumsum(n_b) - n_b)[doc]]
-            order = np.lexsort((keys, doc))
-            keys, doc = keys[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, np.int64)
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))]), pa.int32())
-            pairs, times = pa.ListArray.from_arrays(ends, pa.array(keys[new])), pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(new, len(keys))), pa.int64()))
+            # document, A id and B id in one number each: a plain sort puts equal ones together
+            bits = int(max(a.max(initial=0), b.max(initial=0))).bit_length()
+            keys = (doc << bits | a[i + (np.cumsum(n_a) - n_a)[doc]]) << bits | b[j + (np.cumsum(n_b) - n_b)[doc]]
+            keys.sort()
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            times, keys = np.diff(np.append(new, len(keys))), keys[new]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(keys >> 2 * bits, minlength=n))]), pa.int32())
+            low = (1 << bits) - 1
+            pairs, times = pa.ListArray.from_arrays(ends, pa.array((keys >> bits & low) << 32 | keys & low)), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
             digests = text.digests(a, n_a, b, n_b, cut_a, cut_b, cuts)
             columns = [batch.column(0), *map(pa.array, (n_a, n_b, cuts, links)), pa.array(digests, pa.string()), pairs, times]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
