@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 LEGAL_SUFFIXES = ("llc", "llp", "lp", "inc", "incorporated", "ltd", "limited", "corp", "corporation", "plc", "gmbh")
 GENERIC_DOMAINS = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "aol.com", "proton.me", "protonmail.com")
-UOM_ALIASES = {"each": "EA", "ea": "EA", "pc": "EA", "pcs": "EA", "piece": "EA", "pieces": "EA", "kilogram": "KG", "kilograms": "KG", "kg": "KG", "box": "BOX", "boxes": "BOX"}
+UOM_ALIASES = {"each": "EA", "ea": "EA", "pc": "EA", "pcs": "EA", "piece": "EA", "pieces": "EA", "kilogram": "KG", "kg": "KG", "box": "BOX", "boxes": "BOX"}
 
 
 def _text(s: Column) -> Column:

@@ -282,15 +282,3 @@ def select_pages(pages: DataFrame, limit: int = 8) -> DataFrame:
     p = pages.withColumn("score", F.regexp_count("text", F.lit(KEYWORDS)))
     w = Window.partitionBy("doc_id").orderBy((F.col("page") == 1).desc(), F.col("score").desc(), "page")
     return p.withColumn("selected", F.row_number().over(w) <= limit)
-
-
-def locate(values: DataFrame, rows: DataFrame) -> DataFrame:
-    """For ``values(doc_id, field, value)`` the first row that holds the value as a word, rows that name the field first; null where none does."""
-    v = values.where("value is not null")
-    tokens = F.array_distinct(F.transform(F.split(F.lower("raw"), r"[^a-z0-9.,/_-]+"), lambda t: F.btrim(t, F.lit(".,"))))
-    t = rows.select("doc_id", "row_no", "raw", F.explode(tokens).alias("token"))
-    hit = v.withColumn("token", F.lower(F.trim("value"))).join(t, ["doc_id", "token"])
-    named = F.contains(F.lower("raw"), F.replace("field", F.lit("_"), F.lit(" ")))
-    w = Window.partitionBy("doc_id", "field", "value").orderBy(named.desc(), "row_no")
-    first = hit.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "field", "value", "row_no", "raw")
-    return values.join(first, ["doc_id", "field", "value"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bidlake.functions import evidence as fe
 from bidlake.functions import sql as fsql
 from bidlake.functions import text as ft
-from bidlake.operators import changes, evaluate, facts, intake, matching
+from bidlake.operators import changes, evaluate, facts, intake, matching, revisions
 from bidlake.plans import adapters as a
 from bidlake.plans.documents import _named
 from bidlake.plans.sql import BASE, with_
@@ -165,6 +165,9 @@ def supported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("lead_time_days").alias("field"), (d * 7).cast("string").alias("value"), F.concat(F.when(k % 2 == 0, F.lit("Lead time: 1-")).otherwise("needs "), d, F.when(k % 5 == 0, " days").otherwise(" weeks")).alias("text")),
         F.struct(F.lit("uom").alias("field"), F.lit("EA").alias("value"), F.when(k % 2 == 0, "5 pieces").otherwise("5 boxes").alias("text")),
         F.struct(F.lit("supplier_sku").alias("field"), F.concat(F.lit("AX."), k).alias("value"), F.concat(F.lit("part ax."), k, F.when(k % 4 == 0, "9").otherwise("!")).alias("text")),
+        F.struct(F.lit("tax").alias("field"), F.lit("1234.56").alias("value"), F.when(k % 3 == 0, "tax 1.234,56 EUR").when(k % 3 == 1, "tax 1,234.56").otherwise("tax 1.234.56").alias("text")),
+        F.struct(F.lit("moq").alias("field"), q.cast("string").alias("value"), F.to_json(F.struct(q.alias("row"), F.struct((q + 1).alias("qty"), F.when(k % 4 == 0, q).otherwise(q + 2).alias("MOQ")).alias("cells"))).alias("text")),
+        F.struct(F.lit("currency").alias("field"), F.lit("EUR").alias("value"), F.to_json(F.struct(q.alias("row"), F.array(F.lit(" Currency "), F.when(k % 3 == 0, "eur").otherwise("USD")).alias("cells"))).alias("text")),
     )
     c = b.select("line_no", F.explode(cases).alias("c"))
     return c.groupBy("c.field", fe.supports(F.col("c.field"), F.col("c.value"), F.col("c.text")).alias("supported")).agg(F.count("*").alias("n"))
@@ -252,6 +255,21 @@ def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("supplier_id", "po_number").agg(F.count("*").alias("lines"))
 
 
+def folded_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's purchases of a month as an offer, its parts as lines; of two months out of three only the first part. Every line of every
+    revision with its id, which is that of the offer that brought it."""
+    b = a.base(spark, sf_dir).withColumn("month", F.date_format("date", "yyyy-MM"))
+    sku = F.concat(F.when(F.month("date") % 2 == 0, "P-").otherwise("p-"), F.col("item_id") % 7)
+    each = b.select("supplier_id", "month", F.month("date").alias("m"), F.lower(sku).alias("key"), F.struct(sku.alias("supplier_sku"), F.when(F.col("item_id") % 7 != 3, F.col("item_id") % 7).cast("string").alias("item_id"), F.lit("{}").alias("stated")).alias("line"))
+    one = each.groupBy("supplier_id", "month", "m", "key").agg(F.min("line").alias("line"))
+    lines = F.sort_array(F.collect_list("line"))
+    offers = one.groupBy("supplier_id", "month", "m").agg(F.when(F.col("m") % 3 > 0, F.slice(lines, 1, 1)).otherwise(lines).alias("lines"))
+    supplier = F.when(F.col("m") % 4 == 1, F.col("supplier_id")).cast("string")
+    offers = offers.select(F.lit(a.TENANT).alias(ORG), F.col("supplier_id").alias("thread_id"), F.col("month").alias("email_id"), F.col("month").alias("sent_at"), supplier.alias("supplier_id"), F.lit(None).cast("string").alias("rfq_id"), "lines", F.lit("{}").alias("snapshot"))
+    r = revisions.fold(offers)
+    return r.select(F.col("thread_id").cast("long").alias("thread_id"), "revision_number", "email_id", "supersedes", "effective", (F.col("supplier_id") == F.col("thread_id")).alias("own"), "kept", "added", "dropped", F.explode("lines").alias("l")).select("*", "l.line_id", "l.supplier_sku", "l.item_id").drop("l")
+
+
 def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers, asked for by their alias or by their name with a letter before it and, for every third, one less behind."""
     s, k = a.suppliers(spark, sf_dir), F.col("supplier_id")
@@ -265,7 +283,7 @@ def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     email_intake, intake_offers, persisted_quotes, persisted_findings, pasted_emails, known_files, file_counts, page_counts, newest_alerts, bounded_rows, table_items, candidate_union, alias_union, text_functions, price_tiers, supported_values, cited_evidence,
-    label_audit, regraded, document_review, source_alignment, sql_functions, corpus_subsets, selected_pages, current_lines, similar_suppliers,
+    label_audit, regraded, document_review, source_alignment, sql_functions, corpus_subsets, selected_pages, current_lines, folded_revisions, similar_suppliers,
 ]
 
 _MESSAGES = BASE + """,
@@ -353,7 +371,8 @@ UNION ALL SELECT o_orderkey::VARCHAR, 1, 'supplier_sku', (o_orderkey + 1)::VARCH
     ),
     "supported_values": with_(
         BASE + """, s AS (SELECT 'quantity' AS field, item_id % 2 = 0 AS supported FROM v_base UNION ALL SELECT 'unit_price', item_id % 3 = 0 FROM v_base
-  UNION ALL SELECT 'lead_time_days', item_id % 5 <> 0 FROM v_base UNION ALL SELECT 'uom', item_id % 2 = 0 FROM v_base UNION ALL SELECT 'supplier_sku', item_id % 4 <> 0 FROM v_base)""",
+  UNION ALL SELECT 'lead_time_days', item_id % 5 <> 0 FROM v_base UNION ALL SELECT 'uom', item_id % 2 = 0 FROM v_base UNION ALL SELECT 'supplier_sku', item_id % 4 <> 0 FROM v_base
+  UNION ALL SELECT 'tax', item_id % 3 <> 2 FROM v_base UNION ALL SELECT 'moq', item_id % 4 = 0 FROM v_base UNION ALL SELECT 'currency', item_id % 3 = 0 FROM v_base)""",
         "SELECT field, supported, count(*) AS n FROM s GROUP BY ALL",
     ),
     "cited_evidence": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0 END::DOUBLE AS total, CASE WHEN doc_id % 5 <> 0 THEN 0.5 END::DOUBLE AS tax, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 0.9 END::DOUBLE AS "row" FROM documents""",
@@ -381,5 +400,24 @@ c AS (
 o AS (SELECT supplier_id, po_number, min(date) AS date, count(*) AS lines FROM v_base GROUP BY ALL)""",
         "SELECT supplier_id, po_number, lines FROM o QUALIFY row_number() OVER (PARTITION BY supplier_id ORDER BY date DESC, po_number DESC) = 1",
     ),
+    "folded_revisions": """WITH RECURSIVE """ + BASE.strip() + """,
+one AS (
+  SELECT supplier_id, strftime(date, '%Y-%m') AS month, month(date) AS m, item_id % 7 AS r FROM v_base GROUP BY ALL),
+o AS (
+  SELECT supplier_id, month, m, row_number() OVER (PARTITION BY supplier_id ORDER BY month) AS n,
+         CASE WHEN m % 3 > 0 THEN list(r ORDER BY r)[1:1] ELSE list(r ORDER BY r) END AS parts FROM one GROUP BY supplier_id, month, m),
+f AS (
+  SELECT supplier_id, 0::BIGINT AS n, NULL::VARCHAR AS month, NULL::VARCHAR AS before, 0::BIGINT AS m, []::BIGINT[] AS parts, []::VARCHAR[] AS ids, []::VARCHAR[] AS items, 0::BIGINT AS kept, 0::BIGINT AS dropped, false AS own
+  FROM (SELECT DISTINCT supplier_id FROM o)
+  UNION ALL
+  SELECT o.supplier_id, o.n, o.month, f.month, o.m, o.parts,
+         list_transform(o.parts, lambda x, i: coalesce(f.ids[list_position(f.parts, x)], CASE WHEN len(f.parts) = 1 AND len(o.parts) = 1 THEN f.ids[1] END, o.month || ':' || i)),
+         list_transform(o.parts, lambda x: coalesce(CASE WHEN x <> 3 THEN x::VARCHAR END, f.items[list_position(f.parts, x)], CASE WHEN len(f.parts) = 1 AND len(o.parts) = 1 THEN f.items[1] END)),
+         len(list_filter(o.parts, lambda x: list_contains(f.parts, x) OR (len(f.parts) = 1 AND len(o.parts) = 1))),
+         len(f.parts) - len(list_filter(o.parts, lambda x: list_contains(f.parts, x) OR (len(f.parts) = 1 AND len(o.parts) = 1))), f.own OR o.m % 4 = 1
+  FROM f JOIN o ON o.supplier_id = f.supplier_id AND o.n = f.n + 1),
+l AS (SELECT *, unnest(parts) AS part, unnest(ids) AS line_id, unnest(items) AS item_id FROM f WHERE n > 0)
+SELECT supplier_id AS thread_id, n::INT AS revision_number, month AS email_id, before AS supersedes, n = max(n) OVER (PARTITION BY supplier_id) AS effective, CASE WHEN own THEN true END AS own,
+       kept::INT AS kept, (len(parts) - kept)::INT AS added, dropped::INT AS dropped, line_id, CASE WHEN m % 2 = 0 THEN 'P-' ELSE 'p-' END || part AS supplier_sku, item_id FROM l""",
     "similar_suppliers": "SELECT s_suppkey AS asked, s_suppkey AS supplier_id, CASE s_suppkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.96 ELSE round(22 / 24, 6) END::DOUBLE AS score, 1 AS rank FROM supplier",
 }
