@@ -125,14 +125,14 @@ def threads(messages: DataFrame, days: int = 30) -> DataFrame:
 
 
 def email_intake(
-    emails: DataFrame, users: DataFrame, suppliers: DataFrame, contacts: DataFrame, rfqs: DataFrame, attachments: DataFrame | None = None, tables: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    emails: DataFrame, users: DataFrame, suppliers: DataFrame, contacts: DataFrame, rfqs: DataFrame, attachments: DataFrame | None = None, tables: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] = changes.written
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(messages, offers, conflicts)`` of ``emails(organization_id, email_id, message_id, refs, sender_name, sender_email, subject, body, sent_at, rfq_id)``.
 
     Messages get the role of their sender, the kind, the supplier (contact, domain, alias, name, else similar ones for review, else a new one),
     the request, the thread, and a status with all reasons. Suppliers' messages of a kind that may offer, with evidence of an offer, become
     revisions ``quote_no`` of their thread, the last of which is effective. ``attachments`` holds candidates ``(email_id, ordinal, line_no, field,
-    value)``, ``tables`` the messages' tables. ``staged`` may write what several branches read.
+    value)``, ``tables`` the messages' tables. ``staged`` writes what several branches read.
     """
     spark = emails.sparkSession
     parts = mail.message_parts(emails).withColumnRenamed("body", "whole").withColumn("body", F.col("normalized_body"))

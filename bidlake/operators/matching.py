@@ -165,6 +165,7 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     that share a rare pair of characters and whose lengths allow the ratio."""
     if least <= 2 / 3:
         raise ValueError("texts of such a ratio need not share a pair of characters")
+    left, right = written(left, "asked"), written(right, "known")  # each is read by its signatures and for the order
     order = rarity(left, right)
     a, b = (signatures(t, order, least).withColumnsRenamed({"k": f"k{x}", "n": f"n{x}"}) for t, x in ((left, "a"), (right, "b")))
     ratio = F.least("na", "nb") * 2 >= (F.col("na") + F.col("nb")) * least - 1e-9
