@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlake.sources.sinks import shared_table
+
 ORG = "organization_id"
 
 
@@ -126,41 +126,33 @@ def gap_sessions(events: DataFrame, key: list[str], at: str, days: int = 30) ->
     return events.withColumn("_new", gap.cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to a new table in the folder of ``spark.checkpoint.dir`` and read back, so that its branches read it instead of computing it
-    again. Where the folder is unset, which is for tests in local mode only, a temporary one is used."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/bidlake-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+written = shared_table
 
 
 def thread_roots(messages: DataFrame) -> DataFrame:
     """``organization_id, message_id, root``: the smallest message id that reply references connect a message with.
 
-    ``messages(organization_id, message_id, refs array<string>)``. Labels sink to the smallest neighbour's, then jump to their label's label,
-    until none changes, however long that takes; each round is written to the folder of spark.checkpoint.dir.
+    ``messages(organization_id, message_id, refs array<string>)``; references to unknown messages are ignored, null ids left out. Each round
+    ties all larger neighbours of a message to its smallest one, then all smaller ones. What is aggregated are minima, a row a message and task;
+    the neighbours of a message that many cite are joined with one row, which Spark may split, and never gathered. Rounds grow with the logarithm
+    of the longest path; each is written to the shared folder.
     """
-    ids = messages.select(ORG, "message_id").distinct()
-    cites = messages.select(ORG, F.col("message_id").alias("a"), F.explode("refs").alias("b"))
-    known = cites.join(ids.withColumnRenamed("message_id", "b"), [ORG, "b"], "left_semi").select(ORG, "a", "b")
-    edges = written(known.unionByName(known.select(ORG, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    alone = ids.withColumn("root", F.col("message_id"))
-    if edges.isEmpty():
-        return alone
-    linked = edges.select(ORG, F.col("a").alias("message_id")).distinct()
-    labels = written(linked.withColumn("root", F.col("message_id")), "labels")
+    ids = messages.where("message_id is not null").select(ORG, "message_id").distinct()
+    cites = messages.select(ORG, F.col("message_id").alias("a"), F.explode("refs").alias("b")).where("a <> b")
+    known = cites.join(ids.withColumnRenamed("message_id", "b"), [ORG, "b"], "left_semi")
+    # (high, low): an edge from a message to a smaller one
+    edges = written(known.select(ORG, F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
+    before = None
     while True:
-        seen = edges.join(labels.select(ORG, F.col("message_id").alias("b"), "root"), [ORG, "b"]).groupBy(ORG, F.col("a").alias("message_id")).agg(F.min("root").alias("low"))
-        sunk = written(labels.join(seen, [ORG, "message_id"]).select(ORG, "message_id", F.col("root").alias("was"), F.least("root", "low").alias("r")), "sunk")
-        up = sunk.select(ORG, F.col("message_id").alias("r"), F.col("r").alias("rr"))
-        new = written(sunk.join(up, [ORG, "r"]).select(ORG, "message_id", "was", F.least("r", "rr").alias("root")), "labels")
-        labels = new.drop("was")
-        if new.where("was <> root").isEmpty():
-            return labels.unionByName(alone.join(linked, [ORG, "message_id"], "left_anti"))
+        around = edges.select(ORG, F.col("high").alias("at"), F.col("low").alias("near")).unionByName(edges.select(ORG, F.col("low").alias("at"), F.col("high").alias("near")))
+        least = around.groupBy(ORG, "at").agg(F.min("near").alias("near")).select(ORG, "at", F.least("at", "near").alias("least"))
+        larger = around.where("near > at").join(least, [ORG, "at"]).where("near <> least").select(ORG, F.col("near").alias("high"), F.col("least").alias("low")).distinct()
+        lowest = larger.groupBy(ORG, "high").agg(F.min("low").alias("least"))
+        smaller = larger.join(lowest, [ORG, "high"]).where("low <> least").select(ORG, F.col("low").alias("high"), F.col("least").alias("low"))
+        edges = written(smaller.unionByName(lowest.select(ORG, "high", F.col("least").alias("low"))).distinct(), "edges")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64(ORG, "high", "low").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+    roots = edges.select(ORG, F.col("high").alias("message_id"), F.col("low").alias("root"))
+    return ids.join(roots, [ORG, "message_id"], "left").select(ORG, "message_id", F.coalesce("root", "message_id").alias("root"))
