@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from bidlake.llm.common import small_batches, staged
 
 #: Distinct units of which a worker keeps the ids, and the most characters of such a unit.
-KEPT_UNITS, KEPT_CHARS = 250_000, 40
+KEPT_UNITS, KEPT_CHARS = 200_000, 40
 #: Units that are encoded in one call of a tokenizer, as one text.
 JOINED = 200
 #: Characters of the texts merged at once, and tokens after which a long document gets another place in the state vector.
-BATCH_CHARS, STRETCH = 1_500_000, 256
+BATCH_CHARS, STRETCH = 800_000, 256
 #: Pairs of ids that are broadcast with their counts: at most so many, 17 bytes each.
 MOST_PAIRS = 500_000
 #: Unicode's white space, as the byte-level tokenizer's pattern means it; the sign that pieces have for a space.
@@ -241,7 +241,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", *ALIGNED])
                 lo = hi
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in ALIGNED))
 
