@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions.numbers import lead_days, parse_number
-from bidlake.functions.text import GENERIC_DOMAINS, classify_email, email_domain, identity_name, norm_email, norm_message_id, norm_subject, norm_supplier
+from bidlake.functions.text import GENERIC_DOMAINS, classify_email, email_domain, identity_name, norm_email, norm_message_id, norm_subject, norm_supplier, rfq_token
 from bidlake.operators import changes, mail, matching
+from bidlake.sources.sinks import put_epoch, table_exists
 
 ORG = "organization_id"
 # Kinds of messages that may hold an offer, head cells and the field that each names.
@@ -125,21 +126,32 @@ def threads(messages: DataFrame, days: int = 30) -> DataFrame:
 
 
 def email_intake(
-    emails: DataFrame, users: DataFrame, suppliers: DataFrame, contacts: DataFrame, rfqs: DataFrame, attachments: DataFrame | None = None, tables: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] = changes.written
+    emails: DataFrame, users: DataFrame, suppliers: DataFrame, contacts: DataFrame, rfqs: DataFrame, attachments: DataFrame | None = None, tables: DataFrame | None = None, attachment_texts: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] = changes.written
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(messages, offers, conflicts)`` of ``emails(organization_id, email_id, message_id, refs, sender_name, sender_email, subject, body, sent_at, rfq_id)``.
 
     Messages get the role of their sender, the kind, the supplier (contact, domain, alias, name, else similar ones for review, else a new one),
     the request, the thread, and a status with all reasons. Suppliers' messages of a kind that may offer, with evidence of an offer, become
     revisions ``quote_no`` of their thread, the last of which is effective. ``attachments`` holds candidates ``(email_id, ordinal, line_no, field,
-    value)``, ``tables`` the messages' tables. ``staged`` writes what several branches read.
+    value)``, ``tables`` the messages' tables, ``attachment_texts(email_id, ordinal, text)`` texts that may name the request. A supplier whom neither sender
+    nor signature names is named by the first attachment that does. ``staged`` writes what several branches read.
     """
     spark = emails.sparkSession
     parts = mail.message_parts(emails).withColumnRenamed("body", "whole").withColumn("body", F.col("normalized_body"))
     named = matching.sender_role(parts, users).withColumns({
         "email_type": classify_email(F.col("subject"), F.col("body")), "sender_domain": email_domain(F.col("sender_email")), "normalized_subject": norm_subject(F.col("subject")),
     })
-    named = staged(named.withColumn("identity", F.nullif(identity_name(F.col("sender_name"), F.col("signature"), F.col("sender_domain")), F.lit(""))), "named")
+    identity = F.nullif(identity_name(F.col("sender_name"), F.col("signature"), F.col("sender_domain")), F.lit(""))
+    if attachments is not None:
+        stated = attachments.where("field = 'supplier_name' AND value <> ''")
+        named = named.join(stated.groupBy("email_id").agg(F.min_by("value", F.struct("ordinal", "line_no", "value")).alias("stated_name")), "email_id", "left")
+        identity = F.coalesce(identity, F.col("stated_name"))
+    if attachment_texts is not None:
+        numbers = attachment_texts.select("email_id", rfq_token(F.col("text")).alias("number")).where("number is not null").groupBy("email_id").agg(F.collect_set("number").alias("numbers"))
+        named = named.join(numbers, "email_id", "left")
+    else:
+        named = named.withColumn("numbers", F.lit(None).cast("array<string>"))
+    named = staged(named.withColumn("identity", identity), "named")
     selling = named.where("sender_role = 'SUPPLIER'")
     found = matching.match_senders(selling.select(ORG, "email_id", F.col("sender_email").alias("email"), F.col("identity").alias("name")), suppliers, contacts, "email_id")
     found = staged(found.select(ORG, F.col("left_id").alias("email_id"), F.col("right_id").alias("supplier_id"), "method"), "senders")
@@ -152,7 +164,7 @@ def email_intake(
     method = method.when(F.col("identity").isNull() | public, "SUPPLIER_IDENTITY_REVIEW_REQUIRED").otherwise("NEW_UNVERIFIED_CREATED")
     m = m.withColumn("supplier_method", method).drop("method", "similar")
     m = m.withColumn("supplier_key", F.coalesce(F.col("supplier_id").cast("string"), F.when(F.col("supplier_method") == "NEW_UNVERIFIED_CREATED", F.concat(F.lit("new|"), norm_supplier(F.col("identity"))))))
-    r = matching.match_rfqs(m.select(ORG, "email_id", "rfq_id", "subject", "body"), rfqs.withColumnRenamed("rfq_id", "request_id"), "email_id", "subject", "body")
+    r = matching.match_rfqs(m.select(ORG, "email_id", "rfq_id", "subject", "body", "numbers"), rfqs.withColumnRenamed("rfq_id", "request_id"), "email_id", "subject", "body", more="numbers")
     rfq_method = F.when(F.col("method") == "EXPLICIT", "EXPLICIT_RFQ").when(F.col("method") == "NUMBER", "EXACT_RFQ_NUMBER").when(F.col("method").startswith("AMBIGUOUS"), "AMBIGUOUS_RFQ").otherwise("UNMATCHED_RFQ")
     m = m.drop("rfq_id").join(r.select(ORG, F.col("left_id").alias("email_id"), F.col("right_id").alias("rfq_id"), rfq_method.alias("rfq_method")), [ORG, "email_id"], "left")
     m = staged(threads(m.withColumn("supplier_link", F.col("supplier_id")).withColumn("supplier_id", F.col("supplier_key")), 30).withColumn("supplier_id", F.col("supplier_link")).drop("supplier_link"), "linked")
@@ -179,6 +191,34 @@ def email_intake(
     return messages, offers, conflicts
 
 
+#: The tables of an intake and their keys.
+STORED = {"messages": ("email_id",), "offers": ("email_id",), "conflicts": ("email_id", "field")}
+
+
+def stored(spark: SparkSession, folder: str, name: str, before: int | None = None) -> DataFrame | None:
+    """The latest row of each key of a stored table, with the ``epoch`` that wrote it; of the runs before ``before`` only. None if there is none."""
+    if not table_exists(spark, f"{folder}/{name}"):
+        return None
+    rows = spark.read.parquet(f"{folder}/{name}")
+    rows = rows if before is None else rows.where(F.col("epoch") < before)
+    last = rows.groupBy(*STORED[name]).agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, [*STORED[name], "epoch"], "left_semi")
+
+
+def store_intake(messages: DataFrame, offers: DataFrame, conflicts: DataFrame, folder: str, epoch: int) -> None:
+    """Upsert the results of one run by key. Messages that an earlier run left COMPLETE stay as they are, and rows that are stored alike are not
+    written again, so a run over what is known changes nothing; a run of the same ``epoch`` replaces what it wrote before."""
+    spark = messages.sparkSession
+    for name, rows in (("messages", messages), ("offers", offers), ("conflicts", conflicts)):
+        known = stored(spark, folder, name, epoch)
+        if known is not None:
+            known = known.select(*rows.columns)
+            if name == "messages":
+                rows = rows.join(known.where("status = 'COMPLETE'").select("email_id"), "email_id", "left_anti").select(*rows.columns)
+            rows = rows.subtract(known)
+        put_epoch(rows, epoch, f"{folder}/{name}")
+
+
 def persist_extractions(quotes: DataFrame, lines: DataFrame, suppliers: DataFrame, rfqs: DataFrame, items: DataFrame, aliases: DataFrame, mappings: DataFrame, increases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Link extracted offers to the catalog, all at once: ``(quotes, lines, findings)``.
 

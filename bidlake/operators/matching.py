@@ -96,11 +96,12 @@ def match_items(lines: DataFrame, items: DataFrame, aliases: DataFrame, mappings
     ])
 
 
-def match_rfqs(texts: DataFrame, rfqs: DataFrame, left_id: str, *sources: str) -> DataFrame:
+def match_rfqs(texts: DataFrame, rfqs: DataFrame, left_id: str, *sources: str, more: str | None = None) -> DataFrame:
     """Of ``texts(organization_id, <left_id>, rfq_id, <sources>)`` the request by an explicit id, else by the one distinct number that the
-    sources name, if one request has it."""
+    sources name, if one request has it. ``more`` is an array of numbers that other texts name."""
     a, b = _sides(texts, left_id, rfqs, "request_id")
-    tokens = F.array_distinct(F.array_compact(F.array(*(rfq_token(F.col(s)) for s in sources))))
+    others = F.coalesce(F.col(more), F.array().cast("array<string>")) if more else F.array().cast("array<string>")
+    tokens = F.array_distinct(F.array_compact(F.concat(F.array(*(rfq_token(F.col(s)) for s in sources)), others)))
     a = a.withColumn("tokens", tokens)
     explicit = a.where("rfq_id is not null")
     named = a.where("rfq_id is null AND size(tokens) = 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from bidlake.operators import changes, evaluate, facts, intake, matching, revisi
 from bidlake.plans import adapters as a
 from bidlake.plans.documents import _named
 from bidlake.plans.sql import BASE, with_
+from bidlake.sources.sinks import shared_folder
 
 ORG = "organization_id"
 
@@ -29,11 +32,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _intake(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _intake(spark: SparkSession, sf_dir: str, messages: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     users = spark.createDataFrame([(a.TENANT, "me@own.example.net")], f"{ORG} string, email string")
     s = a.suppliers(spark, sf_dir)
     contacts = s.select(ORG, "supplier_id", F.concat(F.lit("bid"), "supplier_id", F.lit("@c.example.org")).alias("email"))
-    return intake.email_intake(_messages(spark, sf_dir), users, s, contacts, a.rfqs(spark, sf_dir), staged=changes.written)
+    mails = _messages(spark, sf_dir) if messages is None else messages
+    return intake.email_intake(mails, users, s, contacts, a.rfqs(spark, sf_dir), attachment_texts=texts)
 
 
 def email_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,20 @@ def email_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("email_id", "sender_role", "email_type", "supplier_id", "supplier_method", "rfq_id", "rfq_method", "status", "status_reason", "offers")
 
 
+def stored_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages taken in over three runs: half of them without attachments, all with attachments, of which some name the request, and all once
+    more. ``written_again`` counts what the last run wrote."""
+    m, folder = _messages(spark, sf_dir), f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
+    item = F.regexp_extract("body", r"AX-(\d+)", 1)
+    texts = m.where("subject = 'hello'").select("email_id", F.lit(1).alias("ordinal"), F.concat(F.lit("Your request RFQ-"), item.try_cast("long") + 1000).alias("text"))
+    intake.store_intake(*_intake(spark, sf_dir, m.where(F.pmod(F.hash("email_id"), F.lit(2)) == 0)), folder, 0)
+    whole = _intake(spark, sf_dir, m, texts)
+    for epoch in (1, 2):
+        intake.store_intake(*whole, folder, epoch)
+    again = sum(t.where("epoch = 2").count() for name in intake.STORED if (t := intake.stored(spark, folder, name)) is not None)
+    return intake.stored(spark, folder, "messages").select("email_id", "rfq_id", "rfq_method", "status", F.lit(again).alias("written_again"))
+
+
 def intake_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intake(spark, sf_dir)[1].select("email_id", "supplier_id", "rfq_id", "quote_no", "supersedes", "effective", "needs_review")
 
@@ -282,7 +300,7 @@ def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    email_intake, intake_offers, persisted_quotes, persisted_findings, pasted_emails, known_files, file_counts, page_counts, newest_alerts, bounded_rows, table_items, candidate_union, alias_union, text_functions, price_tiers, supported_values, cited_evidence,
+    email_intake, intake_offers, stored_intake, persisted_quotes, persisted_findings, pasted_emails, known_files, file_counts, page_counts, newest_alerts, bounded_rows, table_items, candidate_union, alias_union, text_functions, price_tiers, supported_values, cited_evidence,
     label_audit, regraded, document_review, source_alignment, sql_functions, corpus_subsets, selected_pages, current_lines, folded_revisions, similar_suppliers,
 ]
 
@@ -323,6 +341,15 @@ SQL = {
         """SELECT email_id, role AS sender_role, kind AS email_type, supplier_id, method AS supplier_method, rfq_id, CASE WHEN rfq_id IS NULL THEN 'UNMATCHED_RFQ' ELSE 'EXACT_RFQ_NUMBER' END AS rfq_method,
        CASE WHEN len(reasons) = 0 THEN 'COMPLETE' ELSE 'NEEDS_REVIEW' END AS status, array_to_string(reasons, '; ') AS status_reason, offers FROM r""",
     ),
+    "stored_intake": with_(
+        _MESSAGES + """,
+t AS (SELECT *, rfq_id IS NULL AND quoted AS attached FROM m),
+a AS (
+  SELECT *, list_filter([CASE WHEN k % 4 = 2 THEN method END, CASE WHEN rfq_id IS NULL AND NOT attached THEN 'UNMATCHED_RFQ' END, CASE WHEN NOT quoted THEN 'kind' END,
+         CASE WHEN NOT (quoted OR rfq_id IS NOT NULL) THEN 'nothing' END], lambda x: x IS NOT NULL) AS reasons FROM t)""",
+        """SELECT email_id, CASE WHEN attached THEN item_id ELSE rfq_id END AS rfq_id, CASE WHEN rfq_id IS NULL AND NOT attached THEN 'UNMATCHED_RFQ' ELSE 'EXACT_RFQ_NUMBER' END AS rfq_method,
+       CASE WHEN len(reasons) = 0 THEN 'COMPLETE' ELSE 'NEEDS_REVIEW' END AS status, 0 AS written_again FROM a""",
+    ),
     "intake_offers": with_(
         _MESSAGES + """,
 o AS (SELECT *, CASE WHEN rfq_id IS NULL THEN 'hello' ELSE 'rfq' END AS subject FROM r WHERE role = 'SUPPLIER'),

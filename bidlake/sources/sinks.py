@@ -30,8 +30,10 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything but marks of finished jobs."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(p))
 
 
 def put_epoch(rows: DataFrame, epoch: int, path: str, *partitions: str) -> None:
