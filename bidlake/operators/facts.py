@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlake.functions.evidence import price_tiers
 from bidlake.functions.numbers import field_number, lead_days, parse_date
 from bidlake.functions.text import clean_sku, norm_label, norm_uom, ocr_repair
 
@@ -40,6 +41,7 @@ LABELS = {
 LINE_FIELDS = ("supplier_sku", "description", "quantity", "uom", "unit_price", "moq", "lead_time_days", "delivery_date", "stated_line_total")
 NUMBERS = ("quantity", "unit_price", "moq", "shipping_cost", "tax", "stated_subtotal", "stated_total", "stated_line_total")
 DATES = ("delivery_date", "quote_date", "expiration_date")
+NAMED_ITEM = r"(?i)\bfor\s+([^:]+?)\s*:"
 INSTRUCTION = (
     r"(?i)ignore\s+(all|previous|the\s+quoted|system|the\s+evidence)|system\s*(prompt|:)|(set|replace|change)\s+(every|all|the|supplier|tax|unit|price)"
     r"|return\s+(quantity|json|eur)|use\s+EUR\s+even|do\s+not\s+extract|output\s+no\s+json|always\s+recommend|say\s+moq|send\s+this\s+order"
@@ -108,10 +110,10 @@ def classified_rows(rows: DataFrame) -> DataFrame:
     return r.withColumn("kind", kind).withColumn("marked", F.when(F.col("kind") == "inline", marked)).drop("base")
 
 
-def source_facts(rows: DataFrame) -> DataFrame:
-    """Facts ``doc_id, item, row_no, field, value, raw``: item 0 is the whole offer, items count from 1 in order of their starts. A part number starts an item
-    (as do rows with several labels); facts of items before any start, or after a header or separator, belong to none and go."""
-    r = classified_rows(rows).where(~F.col("kind").isin("instruction", "withdrawn", "text"))
+def itemised_rows(rows: DataFrame) -> DataFrame:
+    """``classified_rows`` but instructions and withdrawn offers, with the ``pairs`` of fields and texts that a row states, the number ``at`` of items that
+    have started, and whether the last is ``open``. A part number starts an item, as do rows with several labels; headers and separators close it."""
+    r = classified_rows(rows).where(~F.col("kind").isin("instruction", "withdrawn"))
     pair = lambda f, v: F.struct(f.alias("field"), v.alias("text"))
     labelled = F.array(pair(F.col("label"), F.regexp_extract("raw", LABELLED, 2)))
     table = F.zip_with("header", "cells", pair)
@@ -124,13 +126,46 @@ def source_facts(rows: DataFrame) -> DataFrame:
     starts = F.coalesce(sku | (F.col("kind") == "inline"), F.lit(False))
     w = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = F.when(starts, True).when(F.col("kind").isin("header", "separator"), False)
-    r = r.withColumn("open", F.coalesce(F.last(state, True).over(w), F.lit(False))).withColumn("at", F.count_if(starts).over(w).cast("int"))
+    return r.withColumn("open", F.coalesce(F.last(state, True).over(w), F.lit(False))).withColumn("at", F.count_if(starts).over(w).cast("int"))
+
+
+def source_facts(rows: DataFrame) -> DataFrame:
+    """Facts ``doc_id, item, row_no, field, value, raw``: item 0 is the whole offer, items count from 1 in order of their starts. Facts of items before
+    any start, or after a header or separator, belong to none and go."""
+    r = itemised_rows(rows).where("kind <> 'text'")
     f = r.select("doc_id", "row_no", "raw", "open", "at", F.explode("pairs").alias("p")).where("p.field is not null")
     line = F.col("p.field").isin(*LINE_FIELDS)
     f = f.where(~line | F.col("open")).withColumn("item", F.when(line, F.col("at")).otherwise(0))
     return f.select("doc_id", "item", "row_no", F.col("p.field").alias("field"), value_for(F.col("p.field"), F.col("p.text")).alias("value"), "raw")
 
 
+def source_tiers(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Price tiers ``doc_id, item, row_no, minimum, maximum, unit_price, raw`` that rows of text state while an item is open; ``found`` are the
+    ``source_facts`` of the rows.
+
+    They are of the item in force, or of the one that the row names as ``for <part number>:``, if just one of the items up to there has that
+    number and no other. ``maximum`` is null for open tiers; ends that are no numbers leave a tier out."""
+    text = itemised_rows(rows).where("kind = 'text' AND open")
+    stated = text.select("doc_id", "row_no", "raw", "at", F.lower(clean_sku(F.nullif(F.regexp_extract("raw", NAMED_ITEM, 1), F.lit("")))).alias("named"), F.explode(price_tiers(F.col("raw"))).alias("tier"))
+    stated = stated.where("tier.minimum is not null AND tier.unit_price is not null")
+    skus = unique_facts(found.where("field = 'supplier_sku' AND item > 0")).where("unique").select("doc_id", F.lower("value").alias("named"), F.col("item").alias("holder"))
+    named = stated.where("named is not null").select("doc_id", "row_no", "named", "at").distinct().join(skus, ["doc_id", "named"]).where("holder <= at")
+    only = named.groupBy("doc_id", "row_no").agg(F.min("holder").alias("holder"), F.count("*").alias("holders")).where("holders = 1")
+    out = stated.join(only, ["doc_id", "row_no"], "left")
+    return out.select("doc_id", F.coalesce("holder", "at").alias("item"), "row_no", "tier.minimum", "tier.maximum", "tier.unit_price", "raw")
+
+
+def tier_review(tiers: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, item, code`` of items with tiers: TIER_PRICE_REVIEW where not exactly one tier holds the item's quantity at the item's price. Tiers
+    meet the quantity by their range; overlapping ones that both hold it are a case for review."""
+    one = unique_facts(found.where("item > 0 AND field IN ('quantity', 'unit_price')")).where("unique")
+    item = one.groupBy("doc_id", "item").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).try_cast("decimal(28,6)").alias(f) for f in ("quantity", "unit_price")))
+    ranged = tiers.select("doc_id", "item", "minimum", "maximum", F.col("unit_price").alias("tier_price")).join(item, ["doc_id", "item"]).where("quantity is not null")
+    holds = (F.col("minimum") <= F.col("quantity")) & (F.col("maximum").isNull() | (F.col("quantity") <= F.col("maximum")))
+    counted = ranged.groupBy("doc_id", "item").agg(F.count_if(holds).alias("n"), F.count_if(holds & F.col("tier_price").eqNullSafe(F.col("unit_price"))).alias("fits"))
+    return counted.where("n <> 1 OR fits <> 1").select("doc_id", "item", F.lit("TIER_PRICE_REVIEW").alias("code"))
+
+
 def repaired_rows(rows: DataFrame) -> DataFrame:
     """Rows of image pages with recognition errors repaired."""
     return rows.withColumn("raw", F.when(F.col("image"), ocr_repair(F.col("raw"))).otherwise(F.col("raw")))

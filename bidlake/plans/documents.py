@@ -67,6 +67,28 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.source_facts(_rows(spark, sf_dir)).select("doc_id", "item", "field", "value")
 
 
+def _tiered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers' rows, with tiers behind each item of two orders out of three and, in every fifth, one of the first item behind the last."""
+    b = a.base(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("po_number").orderBy("line_no", "purchase_id")))
+    k, q = F.col("po_number"), F.col("quantity").cast("int")
+    price = F.when(F.col("line_no") % 2 == 0, F.col("unit_price").cast("string")).otherwise("0.5")
+    own = b.where(k % 3 != 0).select(k.alias("doc_id"), (F.col("n") * 10 + 8).cast("int").alias("row_no"), F.concat(F.lit("1-"), q - 1, F.lit(": USD 9,999.5; "), q, F.lit("+ = "), price).alias("raw"))
+    first = b.where(k % 5 == 0).groupBy(k.alias("doc_id")).agg((F.max("n") * 10 + 9).cast("int").alias("row_no"), F.concat(F.lit("Tier for p-"), F.min_by("item_id", "n"), F.lit(": 500 – 999: $1.25")).alias("raw"))
+    return written(_rows(spark, sf_dir).unionByName(own).unionByName(first), "tiered")
+
+
+def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tiered_rows(spark, sf_dir)
+    tiers = facts.source_tiers(rows, facts.source_facts(rows))
+    return tiers.select("doc_id", "item", *(F.col(c).cast("double").alias(c) for c in ("minimum", "maximum", "unit_price")))
+
+
+def tier_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tiered_rows(spark, sf_dir)
+    found = written(facts.source_facts(rows), "facts")
+    return facts.tier_review(facts.source_tiers(rows, found), found)
+
+
 def row_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = facts.classified_rows(_rows(spark, sf_dir))
     return r.groupBy("doc_id", "kind", "table_no").agg(F.count("*").alias("n"))
@@ -257,7 +279,7 @@ def _extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return lines, heads
 
 
-QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, row_kinds, evidence_gate, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
+QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, source_tiers, tier_review, row_kinds, evidence_gate, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
 
 _LINES = """l AS (SELECT doc_id, pos - 1 AS line_no, line, (pos - 1) // 40 + 1 AS page
   FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))"""
@@ -330,7 +352,20 @@ SELECT doc_id, line_no, field, CASE WHEN row_no IS NOT NULL THEN 1 WHEN doc_id %
        CASE WHEN row_no IS NOT NULL THEN 0.8 WHEN doc_id % 5 = 0 AND field <> 'tax' THEN 0.5 END::DOUBLE AS confidence,
        CASE WHEN row_no IS NOT NULL THEN 'text' WHEN doc_id % 5 = 0 AND field <> 'tax' THEN 'visual' END AS evidence_type
 FROM v"""
+_TIERS = "WITH " + BASE + """,
+b AS (SELECT *, po_number AS k, row_number() OVER (PARTITION BY po_number ORDER BY line_no, purchase_id) AS n, CAST(quantity AS INT) AS q FROM v_base),
+f AS (SELECT k, max(n) AS last, min_by(item_id, n) AS named, count(*) FILTER (WHERE item_id = first_item) AS holders
+      FROM (SELECT *, first_value(item_id) OVER (PARTITION BY k ORDER BY n) AS first_item FROM b) GROUP BY k),
+t AS (
+  SELECT k AS doc_id, n AS item, 1::DOUBLE AS minimum, (q - 1)::DOUBLE AS maximum, 9999.5::DOUBLE AS unit_price FROM b WHERE k % 3 <> 0
+  UNION ALL SELECT k, n, q::DOUBLE, NULL, CASE WHEN line_no % 2 = 0 THEN unit_price::DOUBLE ELSE 0.5 END FROM b WHERE k % 3 <> 0
+  UNION ALL SELECT k, CASE WHEN holders = 1 THEN 1 ELSE last END, 500, 999, 1.25 FROM f WHERE k % 5 = 0)
+"""
 SQL = {
+    "source_tiers": _TIERS + "SELECT doc_id, item::INT AS item, minimum, maximum, unit_price FROM t",
+    "tier_review": _TIERS + """SELECT doc_id, item::INT AS item, 'TIER_PRICE_REVIEW' AS code FROM t JOIN b ON doc_id = k AND item = n GROUP BY doc_id, item
+HAVING count(*) FILTER (WHERE minimum <= q AND (maximum IS NULL OR q <= maximum)) <> 1
+    OR count(*) FILTER (WHERE minimum <= q AND (maximum IS NULL OR q <= maximum) AND t.unit_price = b.unit_price::DOUBLE) <> 1""",
     "evidence_rows": _SOURCE,
     "page_relevance": with_(
         _LINES,

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from bidlake.streaming import feeds
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -96,10 +98,9 @@ def reference_threads(messages: DataFrame, key: str, id_col: str, at: str, refs:
 
     ``refs`` is an array of cited ids, the one replied to first; null ids, null arrays and empty ones cite nothing. Messages of one
     time are taken by id. Rows of an id that has come before replace it while it waits. Rows behind the watermark do not enter the
-    state: see ``late.split``. Threads are numbered within their key. State, in RocksDB, grows with messages and threads.
+    state: see ``late.recomputed``. Threads are numbered within their key. State grows with messages and threads; it
+    needs RocksDB, which ``to_table`` sets for its query.
     """
-    spark = messages.sparkSession
-    spark.conf.set(PROVIDER, ROCKS)
     text = {c: F.col(c).cast("string") for c in (supplier, rfq)}
     rows = messages.select(
         F.col(key).cast("string").alias("key"), F.col(id_col).cast("string").alias("id"), F.col(at).cast("timestamp").alias("at"),
@@ -107,3 +108,14 @@ def reference_threads(messages: DataFrame, key: str, id_col: str, at: str, refs:
     ).withWatermark("at", late)
     schema = "key string, id string, thread int, method string"
     return rows.groupBy("key").transformWithStateInPandas(_Threads(days), schema, "append", "eventTime")
+
+
+def to_table(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """``feeds.to_table`` with state in RocksDB. A query keeps the settings that it starts with, so the session's own are put back at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        return feeds.to_table(df, out, checkpoint)
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)

@@ -75,7 +75,7 @@ def test_threads_by_reference(spark, folder):
     second = [("s", "m6", day(21), ["m4"], "y", None), ("s", "m7", day(22), ["gone"], "x", None), ("s", "m8", day(23), [], "q", None), ("s", "last", day(28), [], None, None)]
     for rows in (first, second):
         source = feed(spark, folder, rows, schema)
-        out = feeds.drained(threads.reference_threads(source, "subject", "id", "at", "refs", "supplier", "rfq", 10, "1 day"), folder)
+        out = feeds.drained(threads.reference_threads(source, "subject", "id", "at", "refs", "supplier", "rfq", 10, "1 day"), folder, threads.to_table)
     got = {(r["key"], r["id"]): (r["thread"], r["method"]) for r in out.collect()}
     assert got == {
         ("s", "m1"): (1, "NEW"), ("s", "m2"): (2, "NEW"), ("s", "m3"): (1, "REFERENCE"), ("t", "m5"): (1, "NEW"), ("s", "m4"): (3, "NEW"),
