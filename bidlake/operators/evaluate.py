@@ -6,11 +6,14 @@ field that was wanted or, on extra lines, given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions.numbers import percent, power_of_ten_off, ratio
 from bidlake.functions.text import norm_uom
+from bidlake.operators.changes import written
 
 # Fixed values.
 CRITICAL = ("supplier_name", "currency", "supplier_sku", "quantity", "uom", "unit_price")
@@ -335,6 +338,21 @@ def regrade(outputs: DataFrame, labels: DataFrame, corrected: DataFrame) -> Data
     return out.where("correct_before <> correct_after")
 
 
+def replay(responses: DataFrame, labels: DataFrame, missing: DataFrame, before: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a change of rules does to the scores of saved responses: the rows of ``field_scores`` that differ, with ``version`` before or after.
+
+    ``responses(doc_id, item, field, value)`` are what a model said, item 0 for the whole document; both rules turn them into ``(doc_id, item, field,
+    accepted)`` anew, without asking a model. ``labels(doc_id, line_no, field, value)`` score both, and documents of ``missing(doc_id)``, whose response
+    was not saved, count as failed in both. Equal scores, repeats counted, leave no rows."""
+
+    def scores(rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        given = rule(responses).where("accepted is not null").select("doc_id", F.nullif("item", F.lit(0)).alias("line_no"), "field", F.col("accepted").alias("value"))
+        return written(field_scores(scored(observations(labels, given, missing))), "scores")
+
+    old, new = scores(before), scores(after)
+    return old.exceptAll(new).withColumn("version", F.lit("before")).unionByName(new.exceptAll(old).withColumn("version", F.lit("after")))
+
+
 # Fixed value: text that reads like instructions to whoever processes the document.
 UNTRUSTED = r"(?i)ignore (all|previous)|system prompt|approve (this|the) quote"
 

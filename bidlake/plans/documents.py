@@ -110,6 +110,17 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("field", "decision", "change").agg(F.count("*").alias("n"))
 
 
+def replayed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved responses taken as they are, and through the gate: the fields whose scores change."""
+    found = _facts(spark, sf_dir)
+    said = written(_model(found), "responses")
+    labels = facts.unique_facts(found).where("value is not null AND item > 0 AND field IN ('quantity', 'unit_price', 'supplier_sku')").select("doc_id", F.col("item").alias("line_no"), "field", "value")
+    missing = labels.select("doc_id").distinct().where("doc_id % 25 = 0")
+    asked = F.col("field").isin("quantity", "unit_price", "supplier_sku") & (F.col("item") > 0)
+    r = evaluate.replay(said, labels, missing, lambda m: m.withColumnRenamed("value", "accepted").where(asked), lambda m: facts.gate(m, found).where(asked))
+    return r.select("version", "field", "total", "correct", "exact")
+
+
 def focused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     instructed = rows.where(F.col("raw").rlike(facts.INSTRUCTION)).select("doc_id").distinct()
@@ -279,7 +290,7 @@ def _extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return lines, heads
 
 
-QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, source_tiers, tier_review, row_kinds, evidence_gate, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
+QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, source_tiers, tier_review, row_kinds, evidence_gate, replayed_scores, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
 
 _LINES = """l AS (SELECT doc_id, pos - 1 AS line_no, line, (pos - 1) // 40 + 1 AS page
   FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))"""
@@ -362,6 +373,12 @@ t AS (
   UNION ALL SELECT k, CASE WHEN holders = 1 THEN 1 ELSE last END, 500, 999, 1.25 FROM f WHERE k % 5 = 0)
 """
 SQL = {
+    "replayed_scores": with_(
+        _OFFERS + """,
+s AS (SELECT f.field, f.doc_id % 25 <> 0 AS saved, f.doc_id % 25 <> 0 AND mod.value IS NOT NULL AND NOT coalesce(scaled, false) AS kept FROM f LEFT JOIN mod USING (doc_id, item, field) WHERE f.field IN ('quantity', 'unit_price') AND f.item > 0)""",
+        """SELECT version, field, count(*) AS total, count(*) FILTER (CASE version WHEN 'before' THEN kept ELSE saved END) AS correct, count(*) FILTER (CASE version WHEN 'before' THEN kept ELSE saved END) AS exact
+FROM s, (VALUES ('before'), ('after')) v(version) GROUP BY ALL""",
+    ),
     "source_tiers": _TIERS + "SELECT doc_id, item::INT AS item, minimum, maximum, unit_price FROM t",
     "tier_review": _TIERS + """SELECT doc_id, item::INT AS item, 'TIER_PRICE_REVIEW' AS code FROM t JOIN b ON doc_id = k AND item = n GROUP BY doc_id, item
 HAVING count(*) FILTER (WHERE minimum <= q AND (maximum IS NULL OR q <= maximum)) <> 1

@@ -2,6 +2,7 @@
 
 import collections
 import difflib
+import os
 import re
 
 import pandas as pd
@@ -15,6 +16,7 @@ def table(sf_dir, name):
 
 def test_first_event_limit(spark, sf_dir):
     """Of each type's events those beyond three in the half hour from the first one of a span."""
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")  # the smallest events never come so close
     want = collections.Counter()
     for kind, own in table(sf_dir, "events").sort_values("ts").groupby("event_type"):
         start, n = None, 0
@@ -24,7 +26,7 @@ def test_first_event_limit(spark, sf_dir):
             n += 1
             want[kind] += n > 3
     got = {r["key"]: r["n"] for r in plans.queries()["stream_first_event_limit"](spark, sf_dir).collect()}
-    assert got == {k: n for k, n in want.items() if n}
+    assert got == {k: n for k, n in want.items() if n} and got
 
 
 def test_item_suggestions(spark, sf_dir):

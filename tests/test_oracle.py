@@ -42,7 +42,7 @@ def rows(names, table):
 
 
 #: Queries whose thresholds no row of the smallest tables reaches run on larger ones.
-LARGER = {"stream_rate_limit": "sf0.01"}
+LARGER = {"stream_rate_limit": "sf0.01", "stream_first_event_limit": "sf0.01"}
 
 
 @pytest.mark.parametrize("name", list(plans.queries()))
