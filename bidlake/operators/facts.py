@@ -43,9 +43,12 @@ NUMBERS = ("quantity", "unit_price", "moq", "shipping_cost", "tax", "stated_subt
 DATES = ("delivery_date", "quote_date", "expiration_date")
 NAMED_ITEM = r"(?i)\bfor\s+([^:]+?)\s*:"
 INSTRUCTION = (
-    r"(?i)ignore\s+(all|previous|the\s+quoted|system|the\s+evidence)|system\s*(prompt|:)|(set|replace|change)\s+(every|all|the|supplier|tax|unit|price)"
-    r"|return\s+(quantity|json|eur)|use\s+EUR\s+even|do\s+not\s+extract|output\s+no\s+json|always\s+recommend|say\s+moq|send\s+this\s+order"
-    r"|autonomous\s+purchasing|follow\s+these\s+instructions|assistant\s*:"
+    r"(?i)"
+    r"ignore\s+(?:all|previous|the\s+quoted|system|the\s+evidence)|system\s*(?:prompt|:)|"
+    r"(?:set|replace|change)\s+(?:every|all|the|supplier|tax|unit|price)|"
+    r"return\s+(?:quantity|json|eur)|use\s+EUR\s+even|do\s+not\s+extract|"
+    r"output\s+no\s+json|always\s+recommend|say\s+moq|send\s+this\s+order|"
+    r"autonomous\s+purchasing|follow\s+these\s+instructions|assistant\s*:"
 )
 WITHDRAWN = r"(?i)\b(withdrawn|previous offer|not current)\b"
 SEPARATOR = r"(?i)(--- LINE ITEM ---|QUOTED LINE|^\s*quoted item\b)"
@@ -225,11 +228,16 @@ def verification_requests(model: DataFrame, facts: DataFrame, instructed: DataFr
     return d.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
+def _ordered(lines: list[tuple]) -> list[tuple]:
+    """Lines ``(number, part number, ...)`` by number, then part number; lines without a number last, without a part number first of theirs."""
+    return sorted(lines, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or ""))
+
+
 def greedy_pairs(wanted: list, given: list) -> list[tuple[int | None, int | None, bool]]:
     """Align lines ``(line_no, sku)`` in order: the first unused line of the same part number, else of the same place, else the first unused;
     unused ones stay extra."""
-    left, rows = sorted(given), []
-    for i, (no, sku) in enumerate(sorted(wanted)):
+    left, rows = _ordered(given), []
+    for i, (no, sku) in enumerate(_ordered(wanted)):
         hit = next((g for g in left if sku is not None and g[1] == sku), None)
         by_sku = hit is not None
         if hit is None:
@@ -256,8 +264,8 @@ def align_lines(wanted: DataFrame, given: DataFrame) -> DataFrame:
 def source_order(rows: list, lines: list) -> list[tuple[int | None, int | None]]:
     """Pair source rows ``(row_no, sku, viable)`` in order with extracted lines ``(line_no, sku)``: the first line left of the same part number,
     else the first one left. Rows without a line stay if they are viable; lines without a row come last."""
-    left, out = sorted(lines), []
-    for no, sku, viable in sorted(rows):
+    left, out = _ordered(lines), []
+    for no, sku, viable in _ordered(rows):
         hit = next((x for x in left if sku is not None and x[1] == sku), left[0] if left else None)
         if hit is not None:
             left.remove(hit)
