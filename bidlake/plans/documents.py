@@ -373,6 +373,13 @@ t AS (
   UNION ALL SELECT k, CASE WHEN holders = 1 THEN 1 ELSE last END, 500, 999, 1.25 FROM f WHERE k % 5 = 0)
 """
 SQL = {
+    "row_kinds": "WITH " + BASE + """,
+o AS (SELECT po_number AS k, count(*) AS items FROM v_base GROUP BY k)
+SELECT doc_id, kind, table_no::INT AS table_no, n::BIGINT AS n FROM (
+  SELECT k AS doc_id, unnest(['labelled', 'instruction', 'header', 'table', 'inline']) AS kind, unnest([0, 0, 1, 1, 0]) AS table_no,
+         unnest([2 + (k % 3 <> 0)::INT + (k % 4 = 0)::INT + CASE WHEN k % 2 = 1 AND k % 3 = 1 THEN 4 * items ELSE 0 END, (k % 7 = 0)::INT, (k % 2 = 0)::INT,
+                 CASE WHEN k % 2 = 0 THEN items ELSE 0 END, CASE WHEN k % 2 = 1 AND k % 3 <> 1 THEN items ELSE 0 END]) AS n FROM o)
+WHERE n > 0""",
     "replayed_scores": with_(
         _OFFERS + """,
 s AS (SELECT f.field, f.doc_id % 25 <> 0 AS saved, f.doc_id % 25 <> 0 AND mod.value IS NOT NULL AND NOT coalesce(scaled, false) AS kept FROM f LEFT JOIN mod USING (doc_id, item, field) WHERE f.field IN ('quantity', 'unit_price') AND f.item > 0)""",

@@ -168,3 +168,25 @@ def test_source_rows_in_order(spark):
     rows = spark.createDataFrame([("d", 0, "A", True), ("d", 1, "B", True), ("d", 2, "C", False), ("d", 3, "D", True)], "doc_id string, row_no int, sku string, viable boolean")
     got = [(r["position"], r["row_no"], r["line_no"]) for r in sorted(facts.in_source_order(lines, rows).collect(), key=lambda r: r["position"])]
     assert got == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, None)]
+
+
+def test_attachments_name_supplier_and_request(spark, tmp_path):
+    """An attachment decides what the message leaves open; a second run over the same messages writes nothing."""
+    at = datetime.datetime(2024, 1, 1)
+    offer = "Quote no. Q7\nAX-10\nqty 5, unit price 2"
+    mails = [("o", "e1", "<1>", [], None, "x@gmail.com", "hello", offer, at, None), ("o", "e2", "<2>", [], None, "y@gmail.com", "hello", offer, at, None)]
+    e = spark.createDataFrame(mails, f"{ORG} string, email_id string, message_id string, refs array<string>, sender_name string, sender_email string, subject string, body string, sent_at timestamp, rfq_id long")
+    users = spark.createDataFrame([], f"{ORG} string, email string")
+    suppliers = spark.createDataFrame([("o", 1, "Bolts Ltd", ["Bolt People"], "bolts.example")], f"{ORG} string, supplier_id long, name string, aliases array<string>, email_domain string")
+    contacts = spark.createDataFrame([], f"{ORG} string, supplier_id long, email string")
+    rfqs = spark.createDataFrame([("o", 10, "RFQ-100"), ("o", 20, "RFQ-200")], f"{ORG} string, rfq_id long, number string")
+    attached = spark.createDataFrame([("e1", 2, None, "supplier_name", "Other"), ("e1", 1, None, "supplier_name", "Bolts Limited")], "email_id string, ordinal int, line_no int, field string, value string")
+    texts = spark.createDataFrame([("e1", 1, "see RFQ-100"), ("e1", 2, "rfq-100 again"), ("e2", 1, "RFQ-100"), ("e2", 2, "RFQ-200"), ("e2", 3, None)], "email_id string, ordinal int, text string")
+    out = intake.email_intake(e, users, suppliers, contacts, rfqs, attached, attachment_texts=texts)
+    got = {r["email_id"]: (r["supplier_id"], r["rfq_id"], r["rfq_method"]) for r in out[0].collect()}
+    assert got == {"e1": (1, 10, "EXACT_RFQ_NUMBER"), "e2": (None, None, "AMBIGUOUS_RFQ")}
+    folder = str(tmp_path)
+    for epoch in (0, 0, 1):
+        intake.store_intake(*out, folder, epoch)
+    rows = intake.stored(spark, folder, "messages").collect()
+    assert {r["email_id"] for r in rows} == {"e1", "e2"} and {r["epoch"] for r in rows} == {0} and intake.stored(spark, folder, "messages", 0).count() == 0
