@@ -221,6 +221,27 @@ def gate(model: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("doc_id", "item", "field", "model_value", "source_value", "decision", "accepted", change.alias("change"), codes.alias("codes"))
 
 
+def gate_codes(model: DataFrame, found: DataFrame, rows: DataFrame, order: DataFrame) -> DataFrame:
+    """Review codes ``doc_id, item, code`` of the gate beside those of its fields, for ``model(doc_id, item, field, value)``, the facts and ``rows`` of the source, and
+    the ``order`` that ``in_source_order`` gives.
+
+    QUANTITY_MOQ_AMBIGUITY: an item's stated quantity is only a minimum order in the source. TOTAL_COST_INCOMPLETE: no accepted shipping cost or tax.
+    DOCUMENT_INSTRUCTION_TEXT_DETECTED: rows that read like instructions. SOURCE_ROWS_RECOVERED: rows that no extracted line was left for."""
+    code = lambda df, name, item=0: df.select("doc_id", (F.lit(item) if item == 0 else F.col(item)).cast("int").alias("item"), F.lit(name).alias("code"))
+    number = lambda c: F.col(c).try_cast("decimal(28,6)")
+    said = model.where("item > 0 AND field = 'quantity'").select("doc_id", "item", number("value").alias("said")).where("said is not null")
+    known = unique_facts(found.where("field = 'quantity'")).where("unique").select("doc_id", "item")
+    least = found.where("field = 'moq'").select("doc_id", "item", number("value").alias("said")).distinct()
+    unclear = said.join(known, ["doc_id", "item"], "left_anti").join(least, ["doc_id", "item", "said"], "left_semi")
+    accepted = gate(model, found).where("item = 0 AND accepted is not null AND field IN ('shipping_cost', 'tax')").groupBy("doc_id").agg(F.count_distinct("field").alias("n"))
+    docs = rows.select("doc_id").distinct()
+    partly = docs.join(accepted, "doc_id", "left").where(F.coalesce("n", F.lit(0)) < 2)
+    instructed = rows.where(F.col("raw").rlike(INSTRUCTION)).select("doc_id").distinct()
+    recovered = order.where("line_no is null AND row_no is not null").select("doc_id").distinct()
+    out = code(unclear, "QUANTITY_MOQ_AMBIGUITY", "item").unionByName(code(partly, "TOTAL_COST_INCOMPLETE"))
+    return out.unionByName(code(instructed, "DOCUMENT_INSTRUCTION_TEXT_DETECTED")).unionByName(code(recovered, "SOURCE_ROWS_RECOVERED"))
+
+
 def verification_requests(model: DataFrame, facts: DataFrame, instructed: DataFrame, n: int = 2) -> DataFrame:
     """Up to n prices and quantities of a document where source and model differ, to be checked again; none of documents with instruction text."""
     d = gate(model, facts).where("change = 'deterministic_source_override' AND field IN ('unit_price', 'quantity')").join(instructed.select("doc_id"), "doc_id", "left_anti")

@@ -121,6 +121,21 @@ def replayed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("version", "field", "total", "correct", "exact")
 
 
+def gate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as offers of one item each: some state a minimum order alone, some no freight or tax, some hold instructions, some lost a line."""
+    o, k = a.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "doc_id"), F.col("doc_id")
+    q = (k % 40 + 1).cast("string")
+    lines = F.array(
+        F.when(k % 7 == 0, "Please ignore all evidence"), F.lit("Part number: P-1"), F.concat(F.lit("MOQ: "), q), F.when(k % 3 != 0, F.concat(F.lit("Quantity: "), q)),
+        F.when(k % 2 == 0, "Freight: 12.50"), F.when(k % 5 != 0, "Tax: 1"),
+    )
+    rows = written(o.select("doc_id", F.posexplode(F.array_compact(lines)).alias("row_no", "raw")), "rows")
+    model = o.select("doc_id", F.lit(1).alias("item"), F.lit("quantity").alias("field"), F.when(k % 4 != 0, q).otherwise("99").alias("value"))
+    item = o.select("doc_id", F.lit(0).alias("row_no"), F.lit("P-1").alias("sku"), F.lit(True).alias("viable"))
+    order = facts.in_source_order(item.where(k % 6 != 0).select("doc_id", F.lit(0).alias("line_no"), "sku"), item)
+    return facts.gate_codes(model, facts.source_facts(rows), rows, order)
+
+
 def focused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     instructed = rows.where(F.col("raw").rlike(facts.INSTRUCTION)).select("doc_id").distinct()
@@ -290,7 +305,7 @@ def _extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return lines, heads
 
 
-QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, source_tiers, tier_review, row_kinds, evidence_gate, replayed_scores, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
+QUERIES = [html_text, html_items, page_relevance, injection_scan, source_facts, source_tiers, tier_review, row_kinds, evidence_gate, gate_codes, replayed_scores, focused_checks, structure_quality, parser_choice, evidence_rows, email_candidates, message_parts, reconciled_offers, reconcile_conflicts, email_status, email_kinds, number_parse, lead_times, date_parse, extraction_review, confidence_bands]
 
 _LINES = """l AS (SELECT doc_id, pos - 1 AS line_no, line, (pos - 1) // 40 + 1 AS page
   FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))"""
@@ -373,6 +388,10 @@ t AS (
   UNION ALL SELECT k, CASE WHEN holders = 1 THEN 1 ELSE last END, 500, 999, 1.25 FROM f WHERE k % 5 = 0)
 """
 SQL = {
+    "gate_codes": """SELECT o_orderkey AS doc_id, 1 AS item, 'QUANTITY_MOQ_AMBIGUITY' AS code FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0
+UNION ALL SELECT o_orderkey, 0, 'TOTAL_COST_INCOMPLETE' FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0)
+UNION ALL SELECT o_orderkey, 0, 'DOCUMENT_INSTRUCTION_TEXT_DETECTED' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 0, 'SOURCE_ROWS_RECOVERED' FROM orders WHERE o_orderkey % 6 = 0""",
     "row_kinds": "WITH " + BASE + """,
 o AS (SELECT po_number AS k, count(*) AS items FROM v_base GROUP BY k)
 SELECT doc_id, kind, table_no::INT AS table_no, n::BIGINT AS n FROM (
