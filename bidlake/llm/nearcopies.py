@@ -6,9 +6,10 @@ positions can promise without pairing unrelated texts. So the index lists texts
 is verified by the true similarity of its shingle sets. Texts of one shingle set are one node from the start.
 
 Only groups are sought. So the members of a list are first compared with one leader; in a list of near copies that
-links most of them, at a comparison a member. Lists that then still hold several groups are compared as a whole, inside
-a task, by products of their members' shingle matrices; members of one group are not compared again, and pairs leave the
-task only if they link.
+links most of them, at a comparison a member. Lists whose other members are then still of several groups are compared
+among these, inside a task, by products of their members' shingle matrices; members of one group are not compared again,
+and pairs leave the task only if they link. Shingle sets are larger than the texts they are from, so they are made and
+written for the texts that meet any other, not for all.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, shingle))
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """A set of hashes, cut to 32 bits each."""
+    return np.unique(hashes.astype(np.uint32))
+
+
 def band_keys(hashes: np.ndarray) -> list[int]:
     """A key for each band of MinHash values of a set; no keys for the empty set."""
     if not len(hashes):
@@ -47,24 +53,33 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, digest, n, fp, keys, s`` for each row of ``texts(node, text)``; ``s`` is the shingle set, cut to 32 bits a hash."""
+    """``node, digest, n, fp, keys`` for each row of ``texts(node, text)``; ``n`` is the size of its shingle set as ``_sets`` has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, fps, keys, sets = [], [], [], [], []
+            digests, sizes, fps, keys = [], [], [], []
             for x in b.column(1):
                 hashes = simhash.shingle_hashes(x.as_py(), shingle)
                 own = np.unique(hashes)
-                short = np.unique(own.astype(np.uint32))
                 digests.append(xxhash.xxh128_digest(own.tobytes()))
-                sizes.append(len(short))
+                sizes.append(len(_short(own)))
                 fps.append(simhash.bits_of(hashes))
                 keys.append(band_keys(own))
-                sets.append(short.view(np.int32))
-            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "n", "fp", "keys", "s"])
+            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "n", "fp", "keys"])
+
+    return texts.mapInArrow(run, "node long, digest binary, n int, fp long, keys array<long>")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, s`` for each row of ``texts(node, text)``: its shingle set, cut to 32 bits a hash."""
 
-    return texts.mapInArrow(run, "node long, digest binary, n int, fp long, keys array<long>, s array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_short(shingle_set(x.as_py(), shingle)).view(np.int32) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "s"])
+
+    return texts.mapInArrow(run, "node long, s array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -133,9 +148,14 @@ def _in_chunks(members: DataFrame, most: int) -> DataFrame:
     return whole.unionByName(first).unionByName(second)
 
 
-def groups(nodes: DataFrame, sets: DataFrame, similarity: float, lead: bool = True, most: int = 1000) -> DataFrame:
+def _sent(few: DataFrame) -> DataFrame:
+    """``few``, read from what is written, to be joined: broadcast, so that what it meets stays where it is, unless it has over ``MOST_SENT`` rows."""
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
+def groups(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int = 5, lead: bool = True, most: int = 1000) -> DataFrame:
     """Components ``node, root`` of the links of at least this similarity among ``nodes(node, n, fp, keys)``, n > 0, whose
-    shingle sets are in ``sets(node, s)``, as ``graph.components`` gives them.
+    texts are in ``texts(node, text)``, as ``graph.components`` gives them.
 
     All pairs that meet in a list are compared, but for those that the leaders' links (without ``lead``: SimHash alone) have
     united already. Leaders are the members whose lists are longest: the text that the others are copies of, as a rule.
@@ -143,7 +163,8 @@ def groups(nodes: DataFrame, sets: DataFrame, similarity: float, lead: bool = Tr
     fp = F.xxhash64(F.lit("fingerprint"), "fp")
     lists = staged(nodes.select("node", "n", F.explode(F.array_append("keys", fp)).alias("key")), "lists")
     sizes = staged(lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    lists = staged(lists.join(sizes, "key").select("key", "node", "n", "size"), "several")
+    lists = staged(lists.join(_sent(sizes), "key").select("key", "node", "n", "size"), "several")
+    among = lists.select("key", "node")
     first = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("f")).select("fp", "f.node", "f.n")
     first = staged(first, "first")
     close = simhash.links(first.select("fp")).join(first.toDF("a", "node", "n"), "a").join(first.toDF("b", "other", "m"), "b").select("node", "n", "other", "m")
@@ -151,14 +172,16 @@ def groups(nodes: DataFrame, sets: DataFrame, similarity: float, lead: bool = Tr
         weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
         leader = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("l")
         leaders = lists.join(weight, "node").groupBy("key").agg(leader).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"))
-        close = close.unionByName(lists.join(leaders, "key").select("node", "n", "other", "m"))
+        led = staged(lists.join(leaders, "key").select("key", "node", "n", "other", "m"), "led")
+        close = close.unionByName(led.drop("key"))
+        among = led.where("node <> other").select("key", "node")  # all pairs with a list's leader are verified
     pairs = staged(_ordered(close, similarity), "pairs")
-    # only what meets anything is verified: its sets are written apart, once
+    # only what meets anything is verified: its sets are made and written, once
     asked = staged(lists.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "asked")
-    sets = staged(sets.join(F.broadcast(asked) if asked.count() <= MOST_SENT else asked, "node", "left_semi"), "sets")
+    sets = staged(_sets(texts.join(_sent(asked), "node", "left_semi").select("node", "text"), shingle), "sets")
     edges = staged(_verified(pairs, sets, similarity), "links")
     hung = components(edges).toDF("hung", "root")
-    members = lists.join(hung, F.col("node") == F.col("hung"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = among.join(hung, F.col("node") == F.col("hung"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     left = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = staged(members.join(left, "key", "left_semi"), "left")
     if left.isEmpty():
@@ -175,9 +198,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lead: b
     small_batches(docs.sparkSession)
     (row,) = fresh(docs, "row_number")
     rows = numbered(docs, row)
-    own = staged(_profiles(rows.select(F.col(row).alias("node"), "text"), shingle), "profiles")
-    classes = staged(own.groupBy("digest").agg(F.min("node").alias("node")), "classes")
-    nodes = staged(own.where("n > 0").drop("s", "digest").join(classes.select("node"), "node", "left_semi"), "nodes")
-    hung = groups(nodes, own.select("node", "s"), similarity, lead, most).toDF("hung", "root")
+    texts = rows.select(F.col(row).alias("node"), "text")
+    own = staged(_profiles(texts, shingle), "profiles")
+    classes = staged(own.groupBy("digest").agg(F.min("node").alias("node"), F.count("*").alias("rows")), "classes")
+    several = classes.where("rows > 1").select("digest", F.col("node").alias("first"))
+    copies = staged(own.select("node", "digest").join(_sent(several), "digest").where("node <> first").select("node"), "copies")
+    nodes = staged(own.where("n > 0").drop("digest").join(_sent(copies), "node", "left_anti"), "nodes")
+    hung = groups(nodes, texts, similarity, shingle, lead, most).toDF("hung", "root")
     rooted = classes.join(hung, F.col("node") == F.col("hung"), "left").select("digest", F.coalesce("root", "node").alias("root"))
     return one_of_each(rows, row, own.join(rooted, "digest").select("node", "root"))

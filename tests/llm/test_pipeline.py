@@ -175,6 +175,25 @@ def test_near_copies_below_the_similarity(spark):
         assert {r["doc_id"] for r in nearcopies.keep_one(docs, **how).collect()} == want
 
 
+def test_near_copies_write_what_meets(spark, monkeypatch):
+    """Shingle sets are written for texts that meet others, no others; a list of two, whose pair is verified, is not compared as a whole."""
+    rng = np.random.default_rng(12)
+    apart = [_near(rng, 0.9)[0] for _ in range(60)]
+    pairs = [t for _ in range(20) for t in _near(rng, 0.7)] + [t for _ in range(5) for t in _near(rng, 0.95)]
+    rows = list(enumerate([*apart, *pairs, apart[0], apart[0]]))
+    written, real = {}, nearcopies.staged
+
+    def staged(df, name, *partitions):
+        return written.setdefault(name, real(df, name, *partitions))
+
+    monkeypatch.setattr(nearcopies, "staged", staged)
+    kept = {r["doc_id"] for r in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(100), *range(100, 110, 2)}
+    assert [name for name, table in written.items() if "s" in table.columns] == ["sets"]
+    assert 40 <= written["sets"].count() == written["asked"].count() <= len(pairs)
+    assert written["left"].count() == 0
+
+
 def test_shared_shingles():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.int32) for _ in range(20)]
