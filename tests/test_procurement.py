@@ -184,3 +184,21 @@ def test_sql_functions(spark):
 
     sql.register(spark)
     assert tuple(spark.sql("SELECT norm_key('A-1 b'), email_domain(' X@Y.z '), money(1.005)").first()) == ("a1b", "y.z", D("1.01"))
+
+
+def test_rows_searched_by_few_patterns(spark):
+    """What rows are by the words that they hold is what all patterns say of them."""
+    raw = ["IGNORE the evidence", "assistant : hi", "Set  EVERY price", "resets nothing", "do not  extract", "--- Line Item ---", "Quoted item 7", "unquoted line", "was Withdrawn", "not current", "sku AX-1 qty 5 unit  price 2.5", "qty 5",
+           "Part number: P-1", "P.O. 7: x", "unit_price | 3", "a | b | c", "SKU | Qty | UOM", "AX-1 | 2 | EA", "  two  spaces ", "one", "", "x : y", "Moqg 4 Availability 3", "line 7: quantity", "descriptions", "12.50", " 7", "USD 3,5", "1\n2"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(raw)] + [(1, 99, None)], "doc_id int, row_no int, raw string")
+    names = "|".join(sorted({n.replace(" ", r"\s+") for f in facts.LINE_FIELDS for n in facts.LABELS[f]}, key=lambda n: (-len(n), n)))
+    named = F.size(F.regexp_extract_all("raw", F.lit(rf"(?i)(?<![A-Za-z0-9])({names})\s*:?[ \t]*"), 1)) >= 2
+    want = rows.select("row_no", F.col("raw").rlike(facts.INSTRUCTION).alias("i"), F.col("raw").rlike(facts.SEPARATOR).alias("s"), F.col("raw").rlike(facts.WITHDRAWN).alias("w"), named.alias("n"), F.transform(F.split(F.trim("raw"), r"\s*\|\s*|\s+:\s+|\s{2,}"), lambda x: F.trim(x)).alias("cells"))
+    got = {r["row_no"]: r for r in facts.classified_rows(rows).collect()}
+    for r in want.collect():
+        g = got[r["row_no"]]
+        assert g["cells"] == r["cells"], r
+        assert (g["kind"] == "instruction") == bool(r["i"]) and (r["i"] or (g["kind"] == "separator") == bool(r["s"])), r
+        if g["kind"] in ("withdrawn", "inline", "text"):
+            assert g["kind"] == ("withdrawn" if r["w"] else "inline" if r["n"] else "text"), r
+    assert values(spark, *(facts.value_for(F.lit("quantity"), F.lit(t)) for t in ("5", "12.50", "1,234", "USD 7", "5 - 7", "5\n", "")), facts.value_for(F.lit("description"), F.lit("say MOQ 4"))) == ("5", "12.5", "1234", "7", None, "5", None, None)
