@@ -1,6 +1,7 @@
 """Golden cases and properties of the procurement operators."""
 
 import datetime as dt
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -153,6 +154,18 @@ def test_reconcile(spark):
     assert {(r["email_id"], r["resolution"]) for r in conflicts.collect()} == {("e", "REVIEW_REQUIRED"), ("f", "ATTACHMENT_PREFERRED")}
 
 
+def test_reconcile_deals_candidates_out_once(spark):
+    """Candidates meet by their message alone: nothing else of them is dealt out again."""
+    body = spark.createDataFrame([("e", None, "currency", "EUR"), ("e", 0, "quantity", "5")], "email_id string, line_no int, field string, value string")
+    att = spark.createDataFrame([("e", 1, 0, "supplier_sku", "AX-1"), ("e", 1, 0, "quantity", "6"), ("e", 2, 0, "quantity", "7")], "email_id string, ordinal int, line_no int, field string, value string")
+    texts = spark.createDataFrame([("e", "see the attached quote")], "email_id string, body string")
+    merged, conflicts = mail.reconcile(body, att, texts)
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", merged._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all(re.fullmatch(r"email_id#\d+", k) for k in dealt)
+    assert {(r["key"], r["field"]): (r["value"], r["source"]) for r in merged.collect()} == {(None, "currency"): ("EUR", "BODY"), ("ax-1", "supplier_sku"): ("AX-1", "ATTACHMENT"), ("ax-1", "quantity"): ("7", "ATTACHMENT")}
+    assert [(r["field"], r["email_value"], r["attachment_value"]) for r in conflicts.orderBy("ordinal").collect()] == [("line_items.ax-1.quantity", "5", "6"), ("line_items.ax-1.quantity", "6", "7")]
+
+
 def test_failed_documents_stay_in_denominators(spark):
     kind = "doc_id int, line_no int, field string, value string"
     w = spark.createDataFrame([(1, 0, "quantity", "5"), (2, 0, "quantity", "5"), (2, 0, "moq", None)], kind)
